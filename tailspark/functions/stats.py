@@ -25,55 +25,77 @@ def gated(aggregate: Column, value: Column, over: WindowSpec, min_periods: int)
     return F.when(F.count(value).over(over) >= min_periods, aggregate.over(over))
 
 
-def ncskew(returns: Column, over: WindowSpec | None = None, min_periods: int = 3) -> Column:
+# A statistic that needs several aggregates of one frame comes as `*_parts`, the aggregates
+# under a column prefix, and `*_from`, the value made of them. Selecting the parts first
+# computes every aggregate once, however often the formula names it.
+
+
+def skew_parts(returns: Column, prefix: str, over: WindowSpec | None = None) -> list[Column]:
+    return [
+        _on(F.count(returns), over).alias(f"{prefix}_n"),
+        _on(F.sum(returns * returns), over).alias(f"{prefix}_s2"),
+        _on(F.sum(returns * returns * returns), over).alias(f"{prefix}_s3"),
+    ]
+
+
+def ncskew_from(prefix: str, min_periods: int = 3) -> Column:
     """Negative coefficient of skewness from three power sums (returns are not demeaned)."""
-    n = _on(F.count(returns), over)
-    squares = _on(F.sum(returns * returns), over)
-    cubes = _on(F.sum(returns * returns * returns), over)
+    n, squares, cubes = (F.col(f"{prefix}_{part}") for part in ("n", "s2", "s3"))
     skew = -(n * F.pow(n - 1, F.lit(1.5)) * cubes) / (
         (n - 1) * (n - 2) * F.pow(squares, F.lit(1.5))
     )
     return F.when((n >= max(3, min_periods)) & (squares > 0), skew)
 
 
-def duvol(returns: Column, over: WindowSpec | None = None, min_periods: int = 4) -> Column:
-    """Down-to-up volatility, split at the mean of the same returns.
+def duvol_parts(returns: Column, prefix: str, over: WindowSpec | None = None) -> list[Column]:
+    """The frame's values are held as an array, which the frame's length bounds."""
+    return [
+        _on(F.collect_list(returns), over).alias(f"{prefix}_values"),
+        _on(F.avg(returns), over).alias(f"{prefix}_mean"),
+    ]
+
 
-    The split needs the mean first, so the frame's values are held as an array; a frame
-    spans `window` rows, which bounds the array.
-    """
-    values = _on(F.collect_list(returns), over)
-    mean = _on(F.avg(returns), over)
+def duvol_split(prefix: str) -> dict[str, Column]:
+    """Count and squares on each side of the mean: a select of its own, so each array is
+    walked once per figure and not once per mention in the formula."""
+    values, mean = F.col(f"{prefix}_values"), F.col(f"{prefix}_mean")
 
     def squares(keep) -> Column:
         return F.aggregate(
-            F.filter(values, keep), F.lit(0.0), lambda total, value: total + value * value
+            values,
+            F.lit(0.0),
+            lambda total, value: total + F.when(keep(value), value * value).otherwise(0.0),
         )
 
-    def below(value: Column) -> Column:
-        return value < mean
+    return {
+        f"{prefix}_n_down": F.size(F.filter(values, lambda value: value < mean)),
+        f"{prefix}_n_up": F.size(F.filter(values, lambda value: value >= mean)),
+        f"{prefix}_down": squares(lambda value: value < mean),
+        f"{prefix}_up": squares(lambda value: value >= mean),
+    }
 
-    def above(value: Column) -> Column:
-        return value >= mean
 
-    n = _on(F.count(returns), over)
-    n_down = F.size(F.filter(values, below))
-    n_up = n - n_down
-    down, up = squares(below), squares(above)
+def duvol_from(prefix: str, min_periods: int = 4) -> Column:
+    """Down-to-up volatility, split at the mean of the same returns."""
+    n_down, n_up, down, up = (F.col(f"{prefix}_{part}") for part in ("n_down", "n_up", "down", "up"))
     return F.when(
-        (n >= max(4, min_periods)) & (n_down > 1) & (n_up > 1) & (down > 0) & (up > 0),
+        (n_down + n_up >= max(4, min_periods)) & (n_down > 1) & (n_up > 1) & (down > 0) & (up > 0),
         F.ln(((n_up - 1) * down) / ((n_down - 1) * up)),
     )
 
 
-def beta(stock: Column, market: Column, over: WindowSpec | None = None, min_pairs: int = 3) -> Column:
+def beta_parts(stock: Column, market: Column, prefix: str, over: WindowSpec | None = None) -> list[Column]:
+    return [
+        _on(F.count(F.when(market.isNotNull(), stock)), over).alias(f"{prefix}_pairs"),
+        _on(F.covar_samp(stock, market), over).alias(f"{prefix}_cov"),
+        _on(F.var_samp(F.when(stock.isNotNull(), market)), over).alias(f"{prefix}_var"),
+    ]
+
+
+def beta_from(prefix: str, min_pairs: int = 3) -> Column:
     """Covariance over variance of the complete pairs."""
-    paired = F.when(stock.isNotNull(), market)
-    pairs = _on(F.count(F.when(market.isNotNull(), stock)), over)
-    spread = _on(F.var_samp(paired), over)
-    return F.when(
-        (pairs >= max(3, min_pairs)) & (spread > 0), _on(F.covar_samp(stock, market), over) / spread
-    )
+    pairs, cov, var = (F.col(f"{prefix}_{part}") for part in ("pairs", "cov", "var"))
+    return F.when((pairs >= max(3, min_pairs)) & (var > 0), cov / var)
 
 
 def compounded(returns: Column, over: WindowSpec | None = None) -> Column:

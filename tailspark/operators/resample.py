@@ -41,7 +41,8 @@ def weekly_prices(prices: DataFrame) -> DataFrame:
 
 
 def change_from_previous(value: str, window) -> Column:
-    return F.col(value) / F.lag(value, 1).over(window) - 1.0
+    """Fractional change from the previous row that exists; null after a zero."""
+    return F.col(value) / F.nullif(F.lag(value, 1).over(window), F.lit(0.0)) - 1.0
 
 
 def weekly_returns(prices: DataFrame) -> DataFrame:
