@@ -78,19 +78,15 @@ def monthly_prices(prices: DataFrame) -> DataFrame:
         .select("ticker", "month", F.col("m.adj_close").alias("adj_close"))
     )
     # Each row fills the gap up to the ticker's next month, so no calendar join is needed.
-    following = F.lead("month").over(Window.partitionBy("ticker").orderBy("month"))
-    filled = last.withColumn(
+    next_month = F.lead("month").over(Window.partitionBy("ticker").orderBy("month"))
+    gap = F.greatest(
+        F.coalesce(F.months_between("_next", "month").cast("int") - 1, F.lit(0)), F.lit(0)
+    )
+    filled = last.withColumn("_next", next_month).withColumn(
         "date",
         F.explode(
             F.transform(
-                F.sequence(
-                    F.lit(0),
-                    F.greatest(
-                        F.coalesce(F.months_between(following, "month").cast("int") - 1, F.lit(0)),
-                        F.lit(0),
-                    ),
-                ),
-                lambda step: F.last_day(F.add_months("month", step)),
+                F.sequence(F.lit(0), gap), lambda step: F.last_day(F.add_months("month", step))
             )
         ),
     )
