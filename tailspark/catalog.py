@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -810,7 +811,7 @@ def latest_score_overlay(spark, folder):
 def _side_sql(side: str) -> dict[str, str]:
     rf = "(0.04::double / 52)"
     return {
-        f"{side}_r": f"select date, coalesce({side}, 0) as r from overlay",
+        f"{side}_r": f"select date, 0.02 * (coalesce({side}, 0) - 1.5) as r from overlay",
         f"{side}_w": f"select date, r, product(1 + r) over (order by date) as w, row_number() over (order by r, date) as k, count(*) over () as n from {side}_r",
         f"{side}_p": f"select *, max(w) over (order by date) as peak from {side}_w",
         f"{side}_m": f"""select product(1 + r) ** (52.0 / count(*)) - 1 as annual,
@@ -833,10 +834,18 @@ BUSINESS_SQL = """select round(s.annual, 4) as strategy_annual_return, round(b.a
     from strategy_m s cross join benchmark_m b"""
 
 
+def calm_overlay(spark, folder):
+    """The overlay with its returns brought to the size of real weekly returns; line-item
+    prices jump so far that compounding them for a year leaves the range of a double."""
+    perf = portfolio.forward_overlay(scored_panel(spark, folder))
+    return stage(
+        perf.withColumns({side: 0.02 * (F.col(side) - 1.5) for side in ("strategy", "benchmark")}), "overlay"
+    )
+
+
 @register("business_summary", sql(BUSINESS_SQL, "overlay", extra=_side_sql("strategy") | _side_sql("benchmark")))
 def business_summary(spark, folder):
-    perf = stage(portfolio.forward_overlay(scored_panel(spark, folder)), "overlay")
-    wide = portfolio.business_summary(perf)
+    wide = portfolio.business_summary(calm_overlay(spark, folder))
     return wide.select(
         "strategy_annual_return", "benchmark_annual_return", "alpha_annualized", "strategy_sharpe",
         "benchmark_sharpe", "strategy_sortino", "benchmark_sortino", "max_drawdown_strategy",
@@ -849,20 +858,19 @@ def business_summary(spark, folder):
 @register("business_metric_rows")
 def business_metric_rows(spark, folder):
     """The same row as (metric, value) text."""
-    perf = stage(portfolio.forward_overlay(scored_panel(spark, folder)), "overlay")
-    return sinks.to_metric_rows(portfolio.business_summary(perf))
+    return sinks.to_metric_rows(portfolio.business_summary(calm_overlay(spark, folder)))
 
 
 QUARTER_PARTS = {
-    "cut": "select date as at from panel_dates where place = n - 14",
+    "cut": "select date as cut_date from panel_dates where place = n - 14",
     "fwd": "select date from panel_dates where place > n - 14",
     "uni": """select ticker, crash_probability, row_number() over (order by crash_probability desc, ticker)
-        <= greatest(1, ceil(count(*) over () * 0.2::double)) as high from scored_panel where date = (select at from cut)""",
+        <= greatest(1, ceil(count(*) over () * 0.2::double)) as high from scored_panel where date = (select cut_date from cut)""",
     "wk": """select p.date, coalesce(avg(case when not coalesce(u.high, false) then p.weekly_return end), avg(p.weekly_return)) as s, avg(p.weekly_return) as b
         from scored_panel p join fwd on p.date = fwd.date left join uni u on p.ticker = u.ticker where p.weekly_return is not null group by p.date""",
     "path": "select date, product(1 + s) over (order by date) as s, product(1 + b) over (order by date) as b from wk",
     "exc": """select u.ticker, round(u.crash_probability, 4) + 0.0 as crash_probability, p1.adj_close / p0.adj_close - 1 as q
-        from uni u left join scored_panel p0 on u.ticker = p0.ticker and p0.date = (select at from cut)
+        from uni u left join scored_panel p0 on u.ticker = p0.ticker and p0.date = (select cut_date from cut)
         left join scored_panel p1 on u.ticker = p1.ticker and p1.date = (select max(date) from fwd) where u.high""",
 }
 
@@ -900,7 +908,7 @@ def quarter_excluded_with_return(spark, folder):
 @register(
     "quarter_summary",
     sql(
-        """select (select at from cut) as cutoff_date,
+        """select (select cut_date from cut) as cutoff_date,
         (select concat('Q', quarter(max(date)), ' ', year(max(date))) from fwd) as quarter_label, count(*) as forward_weeks,
         round(arg_max(s, date) - 1, 4) as strategy_quarter_return, round(arg_max(b, date) - 1, 4) as benchmark_quarter_return,
         round((arg_max(s, date) - arg_max(b, date)) * 10000)::int as outperformance_bps,
@@ -1287,7 +1295,7 @@ def price_history(spark, folder):
     "price_scenarios",
     sql(
         """select l.ticker, l.as_of_date, p.adj_close as latest_price, 13 as horizon_weeks,
-        p.adj_close * exp(-1.645 * v * (1 + l.crash_probability)) as price_p05, p.adj_close as price_p50, p.adj_close * exp(1.645 * v) as price_p95,
+        p.adj_close * exp(-0.02 * v * (1 + l.crash_probability)) as price_p05, p.adj_close as price_p50, p.adj_close * exp(0.02 * v) as price_p95,
         l.crash_probability, l.risk_bucket, 'historical_volatility_crash_adjusted' as scenario_method
         from latest l join (select *, coalesce(realized_volatility, 0) / sqrt(52) * sqrt(13) as v,
                             row_number() over (partition by ticker order by date desc) as k from dataset0) p on l.ticker = p.ticker and p.k = 1""",
@@ -1297,7 +1305,8 @@ def price_history(spark, folder):
     ),
 )
 def price_scenarios(spark, folder):
-    return rounded(reports.price_scenarios(dataset(spark, folder), latest_scores(spark, folder)))
+    """A small z, as the volatility of line-item prices is some hundred times that of stocks."""
+    return rounded(reports.price_scenarios(dataset(spark, folder), latest_scores(spark, folder), z=0.02))
 
 
 TICKERS_SQL = """select ticker, min(tier)::int as tier from (
@@ -1483,3 +1492,256 @@ DOWNSIDE_SQL = {
 )
 def forward_downside_signal(spark, folder):
     return rounded(downside.forward_downside_signal(adapters.prices(spark, folder)))
+
+
+# --- models ------------------------------------------------------------------------
+
+
+PREPARED_SQL = " union all ".join(
+    f"""select '{f}' as feature, coalesce(m, 0)::double as median, avg(x) as mean, coalesce(nullif(stddev_pop(x), 0), 1) as scale
+    from (select m, coalesce({f}, m, 0)::double as x from labelled, (select quantile_cont({f}, 0.5) as m from labelled)) group by m"""
+    for f in FEATURES
+)
+
+
+@shared
+def training_rows(spark, folder):
+    return dataset(spark, folder).where(F.col("high_crash_risk").isNotNull()).select(
+        "ticker", "date", "high_crash_risk", *[F.col(f).cast("double").alias(f) for f in FEATURES]
+    )
+
+
+@register(
+    "prepared_statistics",
+    sql(PREPARED_SQL, "labelled", rounded={"median": 4, "mean": 4, "scale": 4}),
+)
+def prepared_statistics(spark, folder):
+    """Exact medians, means and scales of the model features over all labelled rows."""
+    found = modelling.fit_preparation(training_rows(spark, folder), FEATURES)
+    rows = list(zip(found.features, found.median, found.mean, found.scale))
+    table = spark.createDataFrame(rows, "feature string, median double, mean double, scale double")
+    return rounded(table, {"median": 4, "mean": 4, "scale": 4})
+
+
+@register(
+    "exact_medians",
+    sql(
+        " union all ".join(f"select '{c}' as name, quantile_cont({c}, 0.5)::double as median from lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")),
+        rounded="median",
+    ),
+)
+def exact_medians(spark, folder):
+    """The search by rounds of cell counts, forced by a small limit."""
+    from tailspark.operators.selection import exact_medians as medians
+
+    names = ("l_quantity", "l_extendedprice", "l_discount")
+    found = medians(adapters.table(spark, folder, "lineitem"), names, small=100, cells=16)
+    return rounded(spark.createDataFrame(list(found.items()), "name string, median double"))
+
+
+def _fitted(spark, folder) -> modelling.FittedModel:
+    return modelling.fit(training_rows(spark, folder), FEATURES)
+
+
+@register("train_metrics")
+def train_metrics(spark, folder):
+    return modelling.train_classifier(dataset(spark, folder)).metrics
+
+
+@register("model_scores")
+def model_scores(spark, folder):
+    return modelling.score_latest(_fitted(spark, folder), dataset(spark, folder))
+
+
+@register("model_scores_as_of")
+def model_scores_as_of(spark, folder):
+    return modelling.score_latest(_fitted(spark, folder), dataset(spark, folder), as_of="1999-01-01")
+
+
+@register("feature_importance")
+def feature_importance(spark, folder):
+    return spark.createDataFrame(_fitted(spark, folder).importances(), "feature string, importance double")
+
+
+@register("esg_lift")
+def esg_lift(spark, folder):
+    return modelling.compare_esg_lift(dataset(spark, folder))
+
+
+@register("text_lift")
+def text_lift(spark, folder):
+    panel = text.attach_text_signals(dataset(spark, folder), weekly_news(spark, folder))
+    return modelling.compare_text_lift(panel)
+
+
+@register("algorithm_comparison")
+def algorithm_comparison(spark, folder):
+    return modelling.compare_algorithms(dataset(spark, folder))
+
+
+@register("tuning_results")
+def tuning_results(spark, folder):
+    """The search over the logistic grid, with the other grids listed."""
+    panel = dataset(spark, folder)
+    run = modelling.tuning_results(panel, model_types=["logistic_regression"], run_search=True)
+    return run.unionByName(modelling.tuning_results(panel, model_types=["random_forest", "gradient_boosting"]))
+
+
+@register("test_confusion")
+def test_confusion(spark, folder):
+    return modelling.test_diagnostics(dataset(spark, folder))["confusion"]
+
+
+@register("test_calibration")
+def test_calibration(spark, folder):
+    return modelling.test_diagnostics(dataset(spark, folder))["calibration"]
+
+
+@register("model_overlay")
+def model_overlay(spark, folder):
+    scored_rows = modelling.score_panel(_fitted(spark, folder), dataset(spark, folder))
+    return portfolio.forward_overlay(scored_rows)
+
+
+@register("model_quarter_summary")
+def model_quarter_summary(spark, folder):
+    scored_rows = modelling.score_panel(_fitted(spark, folder), dataset(spark, folder))
+    return portfolio.quarter_backtest(scored_rows, features=FEATURES)["summary"]
+
+
+_DRIVER_WEIGHTS = {f: (i % 7 - 3) / 2.0 + 0.25 for i, f in enumerate(FEATURES)}
+
+
+@register(
+    "top_drivers",
+    sql(
+        """select ticker, date, string_agg(feature, ';' order by k) as top_drivers from (
+        select r.ticker, r.date, r.feature, row_number() over (partition by r.ticker, r.date order by abs((coalesce(r.x, p.median) - p.mean) / p.scale * r.c) desc, r.i desc) as k
+        from long_rows r join prep p on r.feature = p.feature) where k <= 3 group by 1, 2""",
+        "labelled",
+        extra={
+            "prep": PREPARED_SQL,
+            "long_rows": " union all ".join(
+                f"select ticker, date, '{f}' as feature, {i} as i, {c}::double as c, {f}::double as x from labelled"
+                for i, (f, c) in enumerate(_DRIVER_WEIGHTS.items())
+            ),
+        },
+    ),
+)
+def top_drivers(spark, folder):
+    """The three largest contributions of every labelled row under fixed coefficients."""
+
+    class Fixed:
+        coefficients = Vectors.dense(list(_DRIVER_WEIGHTS.values()))
+
+    rows = training_rows(spark, folder)
+    model = modelling.FittedModel("logistic_regression", modelling.fit_preparation(rows, FEATURES), Fixed())
+    return rows.select("ticker", "date", model.top_drivers().alias("top_drivers"))
+
+
+# --- variants of the older script --------------------------------------------------
+
+
+@register(
+    "variant_empty_weeks",
+    sql(
+        """select g.ticker, g.date, w.adj_close, coalesce(w.weekly_volume, 0) as weekly_volume,
+        last_value(w.adj_close ignore nulls) over (partition by g.ticker order by g.date) /
+          last_value(w.adj_close ignore nulls) over (partition by g.ticker order by g.date rows between unbounded preceding and 1 preceding) - 1 as weekly_return
+        from (select ticker, cast(unnest(generate_series(min(date), max(date), interval 7 day)) as date) as date from weekly group by ticker) g
+        left join weekly w on g.ticker = w.ticker and g.date = w.date""",
+        "weekly",
+        rounded="adj_close weekly_volume weekly_return",
+    ),
+)
+def variant_empty_weeks(spark, folder):
+    return rounded(variants.weekly_with_empty_weeks(adapters.prices(spark, folder)))
+
+
+@register(
+    "variant_static_fundamentals",
+    sql(
+        """select w.ticker, w.date, w.adj_close * f.shares_outstanding as market_cap, f.shares_outstanding, f.market_to_book, f.leverage, f.roa
+        from weekly w left join (select ticker, arg_max(shares_outstanding, period_end) as shares_outstanding, arg_max(market_to_book, period_end) as market_to_book,
+          arg_max(leverage, period_end) as leverage, arg_max(roa, period_end) as roa from fundamentals group by 1) f on w.ticker = f.ticker""",
+        "weekly",
+        "fundamentals",
+        rounded=doubles("market_cap", "shares_outstanding", "market_to_book", "leverage", "roa"),
+    ),
+)
+def variant_static_fundamentals(spark, folder):
+    panel = dataset(spark, folder).select("ticker", "date", "adj_close")
+    joined = variants.static_fundamentals(panel, adapters.fundamentals(spark, folder))
+    return rounded(joined.drop("adj_close"), PANEL_DOUBLES)
+
+
+@register(
+    "variant_first_sector",
+    sql(
+        "select w.ticker, w.date, c.sector from weekly w left join (select ticker, arg_min(sector, date) as sector from controversies group by 1) c on w.ticker = c.ticker",
+        "weekly",
+        "controversies",
+    ),
+)
+def variant_first_sector(spark, folder):
+    panel = dataset(spark, folder).select("ticker", "date", "sector")
+    return variants.first_sector(panel, adapters.controversies(spark, folder))
+
+
+@register(
+    "variant_turnover",
+    sql(
+        """select ticker, date, case when count(turnover) over w >= 4 then turnover - avg(turnover) over w end as detrended_turnover
+        from known window w as (partition by ticker order by date rows between 25 preceding and current row)""",
+        "known",
+        rounded="detrended_turnover",
+    ),
+)
+def variant_turnover(spark, folder):
+    panel = dataset(spark, folder).select("ticker", "date", "turnover")
+    return rounded(variants.turnover_from_four(panel).drop("turnover"))
+
+
+@register(
+    "variant_full_betas",
+    sql(
+        """select ticker, date, case when rows_ = 26 and b_n = 26 and b_var > 0 then b_cov / b_var end as beta_full_window,
+        case when rows_ = 26 and d_n = falls and d_n >= 3 and d_var > 0 then d_cov / d_var end as downside_beta_full_window
+        from (select *, count(*) over w as rows_, count(case when benchmark_return < 0 then 1 end) over w as falls from windows
+              window w as (partition by ticker order by date rows between 25 preceding and current row))""",
+        "windows",
+        rounded="beta_full_window downside_beta_full_window",
+    ),
+)
+def variant_full_betas(spark, folder):
+    panel = dataset(spark, folder).select("ticker", "date", "weekly_return", "benchmark_return")
+    return rounded(variants.full_window_betas(panel).drop("weekly_return", "benchmark_return"))
+
+
+@register(
+    "variant_split",
+    sql(
+        """select split, count(*) as rows, min(date) as first_date from (select l.date, case when d.place < floor(d.n * 0.6::double) then 'train'
+        when d.place < floor(d.n * 0.8::double) then 'validation' else 'test' end as split from labelled l join dated d on l.date = d.date) group by 1""",
+        "labelled",
+        "dated",
+    ),
+)
+def variant_split(spark, folder):
+    rows = training_rows(spark, folder).select("ticker", "date")
+    return variants.split_by_cut_dates(rows).groupBy("split").agg(
+        F.count("*").alias("rows"), F.min("date").alias("first_date")
+    )
+
+
+@register(
+    "variant_buckets",
+    sql(
+        """select ticker, date, sector, case when pos <= ceil(n * 0.2::double) then 'High' when pos <= ceil(n * 0.6::double) then 'Medium' else 'Low' end as risk_bucket
+        from (select ticker, date, sector, row_number() over (partition by date order by crash_probability desc, ticker) as pos, count(*) over (partition by date) as n from scored_panel)""",
+        "scored_panel",
+    ),
+)
+def variant_buckets(spark, folder):
+    rows = scored_panel(spark, folder).select("ticker", "date", "sector", "crash_probability")
+    return variants.buckets_by_position(rows).drop("crash_probability")

@@ -26,96 +26,101 @@ class _Search:
     inside: int
 
 
-def _long(df: DataFrame, searches: dict[str, _Search]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in searches]
-    return df.select(F.inline(F.array(*cells))).where(
-        _any(
-            (F.col("name") == c) & F.col("value").between(F.lit(s.low), F.lit(s.high))
-            for c, s in searches.items()
-        )
-    )
-
-
-def _any(conditions) -> Column:
-    first, *rest = conditions
-    for condition in rest:
-        first = first | condition
-    return first
+def _long(df: DataFrame, searches: dict[str, _Search], cells: int | None = None) -> DataFrame:
+    """(name, value[, cell]) of the values inside the bounds; the rest drops out before any shuffle."""
 
+    def entry(column: str, s: _Search) -> Column:
+        value = F.col(column).cast("double")
+        kept = F.when(value.between(F.lit(s.low), F.lit(s.high)), value)
+        parts = [F.lit(column).alias("name"), kept.alias("value")]
+        if cells:
+            place = F.floor((kept - F.lit(s.low)) / F.lit(s.high - s.low) * cells)
+            parts.append(F.least(place, F.lit(cells - 1)).alias("cell"))
+        return F.struct(*parts)
 
-def _per_name(searches: dict[str, _Search], value) -> Column:
-    out = F.when(F.lit(False), F.lit(0.0))
-    for name, search in searches.items():
-        out = out.when(F.col("name") == name, F.lit(float(value(search))))
-    return out
+    entries = F.array(*[entry(c, s) for c, s in searches.items()])
+    return df.select(F.inline(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
 def exact_medians(
     df: DataFrame, columns: Sequence[str], small: int = 50_000, cells: int = 1024, rounds: int = 12
 ) -> dict[str, float | None]:
-    """Median per column, null for a column without values. `df` is stored: it is read a few times."""
+    """Median per column, None for a column without values. `df` is stored: it is read a few times."""
     row = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(columns)],
         *[F.max(F.col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(columns)],
     ).first()
+    if max(row[f"n{i}"] for i in range(len(columns))) <= small:
+        # the exact percentile holds its distinct values in memory, which `small` bounds
+        middle = df.agg(
+            *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]
+        ).first()
+        return {c: middle[f"m{i}"] for i, c in enumerate(columns)}
+
     found: dict[str, float | None] = {}
     searches: dict[str, _Search] = {}
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
         if n == 0:
             found[c] = None
-        elif row[f"a{i}"] == row[f"b{i}"]:
-            found[c] = row[f"a{i}"]
         else:
             searches[c] = _Search(row[f"a{i}"], row[f"b{i}"], (n - 1) // 2, n // 2, n)
-
     for _ in range(rounds):
         wide = {c: s for c, s in searches.items() if s.inside > small and s.low < s.high}
         if not wide:
             break
-        width = _per_name(wide, lambda s: s.high - s.low)
-        cell = F.least(
-            F.floor((F.col("value") - _per_name(wide, lambda s: s.low)) / width * cells), F.lit(cells - 1)
-        )
-        counts = (
-            _long(df, wide)
-            .groupBy("name", cell.alias("cell"))
-            .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-            .orderBy("name", "cell")
-            .collect()  # at most columns x cells rows
-        )
-        for c, s in wide.items():
-            below, start, low, high = 0, None, None, None
-            inside = 0
-            for r in (r for r in counts if r.name == c):
-                if below + r.n > s.first and start is None:
-                    start, low = below, r.low
-                if start is not None and high is None:
-                    inside += r.n
-                    if below + r.n > s.second:
-                        high = r.high
-                below += r.n
-            searches[c] = _Search(low, high, s.first - start, s.second - start, inside)
+        searches |= _narrowed(df, wide, cells)
 
     for c in [c for c, s in searches.items() if s.low == s.high]:
         found[c] = searches.pop(c).low
-    if searches:
-        found |= _pick(df, searches)
-    return found
+    return found | _pick(df, searches) if searches else found
+
+
+def _narrowed(df: DataFrame, searches: dict[str, _Search], cells: int) -> dict[str, _Search]:
+    counted = (
+        _long(df, searches, cells)
+        .groupBy("name", "cell")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .orderBy("name", "cell")
+        .collect()  # at most columns x cells rows
+    )
+    out = {}
+    for name, s in searches.items():
+        below, taken = 0, []
+        for cell in (r for r in counted if r.name == name):
+            holds = below + cell.n > s.first and below <= s.second
+            if holds:
+                taken.append((below, cell))
+            below += cell.n
+        start = taken[0][0]
+        out[name] = _Search(
+            taken[0][1].low,
+            taken[-1][1].high,
+            s.first - start,
+            s.second - start,
+            sum(cell.n for _, cell in taken),
+        )
+    return out
 
 
 def _pick(df: DataFrame, searches: dict[str, _Search]) -> dict[str, float]:
     """The middle of what is left inside the bounds, ties collapsed first."""
-    counts = _long(df, searches).groupBy("name", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("name").orderBy("value"))
-    placed = counts.withColumn("upto", upto)
-    first, second = _per_name(searches, lambda s: s.first), _per_name(searches, lambda s: s.second)
+    placed = _long(df, searches).groupBy("name", "value").agg(F.count("*").alias("n")).withColumn("upto", upto)
+
+    def wanted(position) -> Column:
+        out = F.lit(None).cast("long")
+        for name, search in searches.items():
+            out = F.when(F.col("name") == name, position(search)).otherwise(out)
+        return out
 
     def at(position: Column) -> Column:
         return F.max(
             F.when((F.col("upto") > position) & (F.col("upto") - F.col("n") <= position), F.col("value"))
         )
 
-    rows = placed.groupBy("name").agg(at(first).alias("a"), at(second).alias("b")).collect()
-    return {r.name: r.a + (r.b - r.a) * 0.5 for r in rows}
+    rows = placed.groupBy("name").agg(
+        at(wanted(lambda s: s.first)).alias("a"), at(wanted(lambda s: s.second)).alias("b")
+    )
+    return {r.name: r.a + (r.b - r.a) * 0.5 for r in rows.collect()}

@@ -171,7 +171,7 @@ def _classifier(model_type: str, params: dict[str, Any], seed: int, rows: int):
         elasticNetParam=0.0,
         standardization=False,
         maxIter=1000,
-        tol=1e-9,
+        tol=1e-7,
     )
 
 

@@ -319,7 +319,7 @@ def quarter_backtest(
         F.col("weeks").alias("forward_weeks"),
         F.round(F.col("s") - 1.0, 4).alias("strategy_quarter_return"),
         F.round(F.col("b") - 1.0, 4).alias("benchmark_quarter_return"),
-        F.round(gap * 10_000).cast("int").alias("outperformance_bps"),
+        F.round(gap * 10_000).cast("bigint").alias("outperformance_bps"),
         F.round(fund_aum * gap, 0).alias("dollar_impact_quarter"),
         F.round(fund_aum * gap * 4, 0).alias("dollar_impact_annualised"),
         universe.agg(n_high).scalar().alias("n_excluded"),
