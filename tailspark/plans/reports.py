@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailspark.config import Settings, feature_group
-from tailspark.functions.stats import finite
 from tailspark.operators.ranking import with_position
 
 
@@ -38,31 +41,64 @@ def descriptive_stats(panel: DataFrame, settings: Settings | None = None) -> Dat
     return panel.agg(*aggregates).select(F.inline(F.array(*lines)))
 
 
-def correlation_matrix(panel: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations; each unordered pair is computed once."""
-    features = (settings or Settings()).features
+PAIR_SCHEMA = "i int, j int, n double, xy double, x double, y double, xx double, yy double"
+
+
+def _pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows where both of a pair are known, for every pair, once per task.
+
+    Missing values count as zero and a mask says where they were, so each sum over pairs is
+    one matrix product per batch.
+    """
+    total = None
+    for batch in batches:
+        z = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        known = (~np.isnan(z)).astype(float)
+        z = np.nan_to_num(z)
+        sums = np.stack([known.T @ known, z.T @ z, z.T @ known, known.T @ z, (z * z).T @ known, known.T @ (z * z)])
+        total = sums if total is None else total + sums
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1])
+        columns = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j]) for m in total]]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", "n", "xy", "x", "y", "xx", "yy"])
 
-    def value(f: str) -> Column:
-        return F.col(f).cast("double") if f in panel.columns else F.lit(None).cast("double")
 
-    pairs = {
-        (i, j): F.corr(value(a), value(b)).alias(f"c{i}_{j}")
-        for i, a in enumerate(features)
-        for j, b in enumerate(features)
-        if i <= j
+def correlation_matrix(panel: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Pairwise-complete Pearson correlations, null where one side does not vary.
+
+    Values are centred and scaled by a first pass, then a second pass sums up all pairs with
+    matrix products inside the tasks; only one row per task and pair is shuffled.
+    """
+    features = (settings or Settings()).features
+    values = {
+        f: F.col(f).cast("double") if f in panel.columns else F.lit(None).cast("double") for f in features
     }
-    one = panel.agg(*pairs.values())
-    lines = [
-        F.struct(
-            F.lit(a).alias("feature"),
-            *[
-                finite(F.col(f"c{min(i, j)}_{max(i, j)}")).alias(b)
-                for j, b in enumerate(features)
-            ],
-        )
-        for i, a in enumerate(features)
-    ]
-    return one.select(F.inline(F.array(*lines)))
+    scale = panel.agg(
+        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(values.values())],
+        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(values.values())],
+    ).first()
+    centred = panel.select(
+        *[
+            ((x - F.lit(scale[f"m{i}"] or 0.0)) / F.lit(scale[f"s{i}"] or 1.0)).alias(f)
+            for i, (f, x) in enumerate(values.items())
+        ]
+    )
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = (F.col("xx") - x * x / n) * (F.col("yy") - y * y / n)
+    # what rounding leaves of a constant counts as no spread
+    pairs = (
+        centred.mapInArrow(_pair_moments, PAIR_SCHEMA)
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
+        .where(F.col("n") > 1)
+        .select("i", "j", F.when(spread > 1e-18 * n * n, (F.col("xy") - x * y / n) / F.sqrt(spread)).alias("r"))
+    )
+    both = pairs.unionByName(pairs.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    rows = both.groupBy("i").agg(
+        *[F.max(F.when(F.col("j") == k, F.col("r"))).alias(f) for k, f in enumerate(features)]
+    )
+    names = panel.sparkSession.createDataFrame(list(enumerate(features)), "i int, feature string")
+    return names.join(rows, "i", "left").select("feature", *features)
 
 
 def sector_controversy(panel: DataFrame, top: int = 10) -> DataFrame:
