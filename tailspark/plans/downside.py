@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailspark.operators.ranking import attach_percentile
+from tailspark.operators.ranking import attach_percentile, groups_fit_one_task
 from tailspark.operators.resample import monthly_prices
 from tailspark.staging import stage
 
@@ -29,7 +29,9 @@ def forward_downside_signal(prices: DataFrame, months: int = 3) -> DataFrame:
         "monthly",
     )
     by_loss = attach_percentile(measured, ["date"], "_loss", "loss_rank")
-    ranked = attach_percentile(stage(by_loss, "loss"), ["date"], "_fall", "drawdown_rank")
+    if not groups_fit_one_task(measured, ["date"]):
+        by_loss = stage(by_loss, "loss")
+    ranked = attach_percentile(by_loss, ["date"], "_fall", "drawdown_rank")
     mix = 0.60 * F.col("loss_rank") + 0.40 * F.col("drawdown_rank")
     return (
         ranked.withColumn("future_downside_signal", F.least(F.greatest(mix, F.lit(0.0)), F.lit(1.0)))

@@ -23,7 +23,7 @@ def roc_auc(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = scored.groupBy(*keys, PROBABILITY).agg(
         F.sum(label).alias("_pos"), F.sum(1 - label).alias("_neg")
     )
-    ranked = running_totals(counts, keys, [F.col(PROBABILITY).asc()], {"_neg_below": F.col("_neg")})
+    ranked = running_totals(counts, keys, [F.col(PROBABILITY).asc()], {"_neg_below": F.col("_neg")}, sized_by=scored)
     pos = F.col("_pos").cast("double")
     totals = ranked.groupBy(*keys).agg(
         F.sum(pos * (F.col("_neg_below") + F.col("_neg") / 2)).alias("_wins"),

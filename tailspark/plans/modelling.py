@@ -253,6 +253,7 @@ def cross_validate(
 ) -> CrossValidation:
     """Expanding-window search: fold i trains on all rows before its block, in (date, ticker) order."""
     candidates = candidates or grid(model_type)
+    # one position per training row: the whole split is one group
     ordered = stage(with_position(train, [], [F.col("date").asc(), F.col("ticker").asc()], "_row"), "folds")
     rows = ordered.count()
     block = rows // (folds + 1)
@@ -343,7 +344,7 @@ def score_latest(
     rows = model.predict(panel.where(F.col("date") == F.lit(newest))).select(
         "ticker", "date", "crash_probability", model.top_drivers(top_n).alias("top_drivers")
     )
-    return with_risk_bucket(rows, ["date"]).select(
+    return with_risk_bucket(rows, ["date"], sized_by=panel).select(
         "ticker", F.col("date").cast("string").alias("as_of_date"), "crash_probability", "risk_bucket", "top_drivers"
     )
 

@@ -56,9 +56,9 @@ def forward_buckets(scored: DataFrame, start_share: float = 0.60, high_share: fl
         F.lead("weekly_return").over(_by_ticker()).alias("next_week_return"),
     )
     if n_dates < 3:
-        return with_risk_bucket(ahead.where("false"), ["date"], high_share=high_share)
+        return with_risk_bucket(ahead.where("false"), ["date"], high_share=high_share, sized_by=scored)
     usable = ahead.where((F.col("date") > F.lit(start)) & F.col("next_week_return").isNotNull())
-    return with_risk_bucket(usable, ["date"], high_share=high_share)
+    return with_risk_bucket(usable, ["date"], high_share=high_share, sized_by=scored)
 
 
 def forward_overlay(
@@ -261,6 +261,7 @@ def quarter_backtest(
             ),
             ["date"],
             high_share=high_share,
+            sized_by=scored,
         ),
         "universe",
     )
