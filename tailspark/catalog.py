@@ -1462,9 +1462,32 @@ for _name in _SQL_VIEWS:
     _summary_query(_name)
 
 
-@register("sql_summary")
+@register(
+    "sql_summary",
+    sql(
+        " union all ".join(
+            f"select '{name}' as query_name, count(*) as row_count, count(*) as json_rows from ({body})"
+            for name, body in {
+                "observations_by_ticker": "select distinct ticker from prices limit 20",
+                "sector_controversy_summary": "select distinct sector from controversies",
+                "top_controversy_events": "select 1 from controversies limit 10",
+                "target_class_balance": "select high_crash_risk from dataset group by 1",
+                "high_risk_names_by_sector": """select coalesce(p.sector, 'Unknown') from latest l left join (select ticker, arg_max(sector, date) as sector
+                    from dataset group by 1) p on l.ticker = p.ticker where l.risk_bucket = 'High' group by 1""",
+                "model_feature_missingness": "select 1",
+            }.items()
+        ),
+        "prices",
+        "controversies",
+        "dataset",
+        "latest",
+    ),
+)
 def sql_summary(spark, folder):
-    return reports.sql_summary(summary_views(spark, folder))
+    """Each result as JSON in one cell; the JSON is read back to count its records."""
+    summary = reports.sql_summary(summary_views(spark, folder))
+    records = F.from_json("result_json", "array<map<string, string>>")
+    return summary.select("query_name", "row_count", F.size(records).cast("bigint").alias("json_rows"))
 
 
 DOWNSIDE_SQL = {
