@@ -1768,3 +1768,53 @@ def variant_split(spark, folder):
 def variant_buckets(spark, folder):
     rows = scored_panel(spark, folder).select("ticker", "date", "sector", "crash_probability")
     return variants.buckets_by_position(rows).drop("crash_probability")
+
+
+@register(
+    "variant_quarter_excluded",
+    sql(
+        """select e.ticker, e.crash_probability, round(f.p1 / f.p0 - 1, 4) + 0.0 as quarter_return,
+        case when f.p1 / f.p0 - 1 < 0 then 'Avoided loss' else 'Model missed' end as outcome from exc e left join
+        (select p.ticker, arg_min(p.adj_close, p.date) as p0, arg_max(p.adj_close, p.date) as p1 from scored_panel p join fwd on p.date = fwd.date group by 1) f
+        on e.ticker = f.ticker""",
+        "panel_dates",
+        extra=QUARTER_PARTS,
+    ),
+)
+def variant_quarter_excluded(spark, folder):
+    return rounded(variants.script_quarter(scored_panel(spark, folder))["excluded"])
+
+
+@register(
+    "variant_quarter_summary",
+    sql(
+        """select (select concat('Q', quarter(min(date)), ' ', year(min(date))) from fwd) as quarter_label,
+        (select round(count(*) filter (f.p1 / f.p0 - 1 < 0) / count(*), 4) from exc e left join
+        (select p.ticker, arg_min(p.adj_close, p.date) as p0, arg_max(p.adj_close, p.date) as p1 from scored_panel p join fwd on p.date = fwd.date group by 1) f
+        on e.ticker = f.ticker) as pct_excluded_correct""",
+        "panel_dates",
+        extra=QUARTER_PARTS,
+    ),
+)
+def variant_quarter_summary(spark, folder):
+    summary = variants.script_quarter(scored_panel(spark, folder))["summary"]
+    return rounded(summary.select("quarter_label", "pct_excluded_correct"))
+
+
+@register(
+    "variant_metrics",
+    sql(
+        """select t.model, t.split, round(a.roc_auc, 4) + 0.0 as roc_auc, round(t.precision_at_top_bucket, 4) + 0.0 as precision_at_top_bucket,
+        round(t.crash_capture_at_top_bucket, 4) + 0.0 as crash_capture_at_top_bucket from tops t join auc a on t.model = a.model and t.split = a.split""",
+        "scored",
+        extra=_MODEL_SQL,
+    ),
+)
+def variant_metrics(spark, folder):
+    report = variants.script_metrics(evaluation.evaluate(two_models(spark, folder)))
+    return rounded(report.select("model", "split", *evaluation.METRICS))
+
+
+@register("variant_holdout_search")
+def variant_holdout_search(spark, folder):
+    return variants.holdout_search(dataset(spark, folder))
