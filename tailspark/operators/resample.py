@@ -11,32 +11,31 @@ def week_end(date: Column | str) -> Column:
     return F.next_day(F.date_sub(F.col(date) if isinstance(date, str) else date, 1), "FRI")
 
 
-def _last_in_week(value: str, date: str) -> list[Column]:
-    # One maximum per weekday. Buffers stay primitive, so the aggregation is a hash
-    # aggregation with map-side combine, and a ticker with very many raw rows shrinks to
-    # one row per week before the shuffle. Two rows on one day: the higher value counts.
-    return [
-        F.max(F.when(F.weekday(date) == day, F.col(value))).alias(f"_{value}_{day}")
-        for day in _WEEKDAYS_LATEST_FIRST
-    ]
+# Friday back to Saturday, as 0 = Monday; and the days of a month from the last.
+_WEEKDAYS = (4, 3, 2, 1, 0, 6, 5)
+_MONTH_DAYS = tuple(range(31, 0, -1))
 
 
-# Friday back to Saturday, as 0 = Monday
-_WEEKDAYS_LATEST_FIRST = (4, 3, 2, 1, 0, 6, 5)
+def _daily_maxima(value: str, day: Column, days: tuple[int, ...]) -> list[Column]:
+    # One maximum per day of the period. Buffers stay primitive, so the aggregation is a hash
+    # aggregation with map-side combine, and a ticker with very many raw rows shrinks to one
+    # row per period before the shuffle. Two rows on one day: the higher value counts.
+    return [F.max(F.when(day == d, F.col(value))).alias(f"_{value}_{d}") for d in days]
 
 
-def _pick_last(value: str) -> Column:
-    return F.coalesce(*[F.col(f"_{value}_{day}") for day in _WEEKDAYS_LATEST_FIRST]).alias(value)
+def _newest(value: str, days: tuple[int, ...]) -> Column:
+    """The last day's value that is not null; `days` runs from the newest."""
+    return F.coalesce(*[F.col(f"_{value}_{d}") for d in days]).alias(value)
 
 
 def weekly_prices(prices: DataFrame) -> DataFrame:
     """(ticker, date=Friday, adj_close, weekly_volume): last price, summed volume, no empty weeks."""
     grouped = prices.groupBy("ticker", week_end("date").alias("week")).agg(
-        *_last_in_week("adj_close", "date"),
+        *_daily_maxima("adj_close", F.weekday("date"), _WEEKDAYS),
         F.coalesce(F.sum("volume"), F.lit(0.0)).alias("weekly_volume"),
     )
     return grouped.select(
-        "ticker", F.col("week").alias("date"), _pick_last("adj_close"), "weekly_volume"
+        "ticker", F.col("week").alias("date"), _newest("adj_close", _WEEKDAYS), "weekly_volume"
     ).where(F.col("adj_close").isNotNull())
 
 
@@ -59,9 +58,9 @@ def weekly_benchmark(benchmark: DataFrame) -> DataFrame:
     The unpartitioned window runs on the weekly table only: about 52 rows a year.
     """
     grouped = benchmark.groupBy(week_end("date").alias("week")).agg(
-        *_last_in_week("benchmark_close", "date")
+        *_daily_maxima("benchmark_close", F.weekday("date"), _WEEKDAYS)
     )
-    weekly = grouped.select(F.col("week").alias("date"), _pick_last("benchmark_close")).where(
+    weekly = grouped.select(F.col("week").alias("date"), _newest("benchmark_close", _WEEKDAYS)).where(
         F.col("benchmark_close").isNotNull()
     )
     return weekly.withColumn(
@@ -74,8 +73,8 @@ def monthly_prices(prices: DataFrame) -> DataFrame:
     last = (
         prices.where(F.col("adj_close").isNotNull())
         .groupBy("ticker", F.last_day("date").alias("month"))
-        .agg(F.max(F.struct("date", "adj_close")).alias("m"))
-        .select("ticker", "month", F.col("m.adj_close").alias("adj_close"))
+        .agg(*_daily_maxima("adj_close", F.dayofmonth("date"), _MONTH_DAYS))
+        .select("ticker", "month", _newest("adj_close", _MONTH_DAYS))
     )
     # Each row fills the gap up to the ticker's next month, so no calendar join is needed.
     next_month = F.lead("month").over(Window.partitionBy("ticker").orderBy("month"))
