@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Fixed values of the method: the model features in their published order.
 FEATURES = (
     "lagged_ncskew",
     "lagged_duvol",
@@ -30,6 +31,7 @@ FEATURES = (
 # Text signals join the panel but are not model features unless asked for.
 TEXT_SIGNALS = ("negative_esg_controversy_score_0_100", "rolling_sentiment_13w")
 
+# Fixed values of the method: the group each feature is reported under.
 FEATURE_GROUPS = {
     "Crash history": ("lagged_ncskew", "lagged_duvol"),
     "Trading activity": ("detrended_turnover",),
