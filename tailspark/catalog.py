@@ -1291,6 +1291,18 @@ def price_history(spark, folder):
     return rounded(reports.price_history(dataset(spark, folder)))
 
 
+@register(
+    "recent_prices",
+    sql(
+        "select ticker, date, adj_close from weekly where ticker = 'S7' and adj_close > 0 order by date desc limit 52",
+        "weekly",
+        rounded="adj_close",
+    ),
+)
+def recent_prices(spark, folder):
+    return rounded(reports.recent_prices(resample.weekly_prices(adapters.prices(spark, folder)), "S7"))
+
+
 @register(
     "price_scenarios",
     sql(

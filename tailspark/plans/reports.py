@@ -129,6 +129,16 @@ def price_history(panel: DataFrame, max_weeks: int = 104) -> DataFrame:
     )
 
 
+def recent_prices(history: DataFrame, ticker: str, n: int = 52) -> DataFrame:
+    """The newest `n` positive prices of one ticker."""
+    return (
+        history.where((F.col("ticker") == ticker) & (F.col("adj_close") > 0))
+        .select("ticker", "date", "adj_close")
+        .orderBy(F.col("date").desc())
+        .limit(n)
+    )
+
+
 def latest_rows(panel: DataFrame, columns: list[str]) -> DataFrame:
     """The newest row of each ticker."""
     return panel.groupBy("ticker").agg(F.max(F.struct("date", *columns)).alias("m")).select("ticker", "m.*")
