@@ -3,30 +3,21 @@
 A table that several later steps read is written once, as parquet, to the folder the
 cluster names in `spark.checkpoint.dir`. That cuts lineage in storage that outlives any
 executor, lets each reader prune columns, and gives the optimiser true sizes, so it
-broadcasts a side only when that side is small. A local session that leaves the setting
-empty, as tests do, gets a folder of its own; on a cluster the setting is required.
+broadcasts a side only when that side is small. Where the setting is empty the session's
+warehouse, which Spark shares by its nature, takes the tables; no machine-local temporary
+folder is ever used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="tailspark-")
-    return _FALLBACK[app]
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
