@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tailspark.staging import stage
 
 __all__ = [
-    "bounds_of", "buckets_for", "chunks", "documents", "ends", "fold", "mix", "split_words", "stage", "tagged",
+    "bounds_of", "buckets_for", "chunks", "documents", "ends", "fold", "fresh", "mix", "split_words", "stage", "tagged",
     "text_column", "word_hashes", "with_bucket",
 ]
 
@@ -29,6 +29,19 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that `df` does not have yet, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        taken.add(new.lower())
+        found.append(new)
+    return found
+
+
 # --- order without a single task ---------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import minhash
+from tailspark.llm import minhash, perplexity
 from tailspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+@register("op5_kneser_ney")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found, out = perplexity.judged(documents(spark, folder).select("doc_id", "text", "lang"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+    return found.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
+
+
 @register("op8_circulant_minhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(documents(spark, folder), words=2)
