@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import minhash, perplexity
+from tailspark.llm import linedup, minhash, perplexity
 from tailspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+@register("op4_deletion_neighbourhood", linedup.SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.line_report(documents(spark, folder)).withColumn("dropped", F.array_join("dropped", ","))
+
+
 @register("op5_kneser_ney")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found, out = perplexity.judged(documents(spark, folder).select("doc_id", "text", "lang"))
