@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import linedup, minhash, perplexity
+from tailspark.llm import linedup, minhash, mixing, perplexity
 from tailspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+@register("op9_pareto_mix", mixing.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.copies_of(documents(spark, folder))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
