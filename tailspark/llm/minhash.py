@@ -7,9 +7,10 @@ shares no band with probability 3e-6, one of 0.85 with 2e-8.
 
 Texts with equal shingle sets form one class, so copies cost one row. The classes of a bucket
 are compared with its smallest and its largest class, not with each other; classes that this
-joins need no further comparison. Where a bucket then still holds several components, pairs across these
-(and only across) are compared too, so no bucket link is lost. All comparisons are exact, on
-whole sets.
+joins need no further comparison. A bucket that then still holds several components is cut into
+blocks of about `BLOCK_ROWS` classes, and pairs of blocks are compared by matrix products, which
+give all exact intersections at once; only links come out. So no bucket link is lost, and no
+table of pairs is ever made. All comparisons are exact, on whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from tailspark.llm.common import (
 from tailspark.llm.components import components
 
 BANDS, ROWS = 32, 5
-_BLOCK = 1 << 14
+BLOCK_ROWS = 256
+_BLOCK, _COLUMNS = 1 << 14, 1 << 12
 
 
 def _scatter(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -116,9 +118,58 @@ def _sets(words: int):
     return run
 
 
-def _fits(a: str, b: str, percent: int) -> F.Column:
-    """Sizes that allow the similarity at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _side(members: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one row's members: ids, components, sizes and the flat shingles."""
+    sets = members.field("shingles")
+    offsets = sets.offsets.to_numpy().astype(np.int64)
+    return (
+        members.field("cid").to_numpy(),
+        members.field("component").to_numpy(),
+        np.diff(offsets),
+        sets.values.to_numpy()[offsets[0] : offsets[-1]],
+    )
+
+
+def intersections(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, as products of 0/1 matrices."""
+    common = np.intersect1d(left, right)
+    sides = []
+    for flat, sizes in ((left, left_sizes), (right, right_sizes)):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.searchsorted(common, flat)
+        hit = common[np.minimum(at, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order], len(sizes)))
+    out = np.zeros((len(left_sizes), len(right_sizes)), np.float32)
+    for start in range(0, len(common), _COLUMNS):
+        width = min(_COLUMNS, len(common) - start)
+        parts = []
+        for row, at, n in sides:
+            a, b = np.searchsorted(at, [start, start + width])
+            part = np.zeros((n, width), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _compared(percent: int):
+    def run(batches):
+        for batch in batches:
+            us, vs = [], []
+            for i in range(batch.num_rows):
+                left = _side(batch.column("left").slice(i, 1).flatten())
+                right = _side(batch.column("right").slice(i, 1).flatten()) if batch.column("right")[i].is_valid else left
+                both = intersections(left[3], left[2], right[3], right[2])
+                either = left[2][:, None] + right[2][None, :] - both
+                a, b = np.nonzero((100 * both >= percent * either) & (left[1][:, None] != right[1][None, :]))
+                us.append(np.minimum(left[0][a], right[0][b]))
+                vs.append(np.maximum(left[0][a], right[0][b]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (us, vs)], names=["u", "v"]
+            )
+
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,26 +236,44 @@ def near_duplicates(
     edges = stage(_linked(star, sets, percent).union(own), "links")
     found = components(edges)
 
-    # pairs of one bucket that the stars left in different components
+    # buckets that the stars left in several components; of buckets with the same classes one will do
     placed = stage(
-        met.select("key", "cid", "n").join(found, F.col("cid") == F.col("node"), "left")
-        .select("key", "cid", "n", F.coalesce("component", "cid").alias("component")),
+        met.select("key", "cid").join(found, F.col("cid") == F.col("node"), "left")
+        .select("key", "cid", F.coalesce("component", "cid").alias("component")),
         "placed",
     )
     mixed = (
-        placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low != high").select("key")
+        placed.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"),
+            F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"),
+        )
+        .filter("low != high")
+        .groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+        .select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    )
+    mixed = stage(mixed, "mixed")
+    blocks = stage(
+        placed.join(mixed, "key")
+        .select("key", "cid", "component", F.pmod(F.xxhash64(F.lit(2), "cid"), "blocks").cast("int").alias("block"))
+        .join(sets, "cid")
+        .groupBy("key", "block").agg(F.collect_list(F.struct("cid", "component", "shingles")).alias("members")),
+        "blocks",
+    )
+    block_pairs = mixed.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a")).select(
+        "key", "a", F.explode(F.sequence("a", F.col("blocks") - 1)).alias("b")
     )
-    open_rows = stage(placed.join(mixed, "key"), "mixed")
-    a, b = (open_rows.select("key", *[F.col(c).alias(c + s) for c in ("cid", "n", "component")]) for s in "12")
-    across = (
-        a.join(b, "key")
-        .filter((F.col("component1") < F.col("component2")) & _fits("n1", "n2", percent))
-        .select(F.least("cid1", "cid2").alias("u"), F.greatest("cid1", "cid2").alias("v"))
-        .distinct()
-        .join(star, ["u", "v"], "left_anti")
+    sides = (
+        block_pairs.join(blocks.select("key", F.col("block").alias("a"), F.col("members").alias("left")), ["key", "a"])
+        .withColumn("other", F.when(F.col("a") != F.col("b"), F.col("b")))
+        .join(
+            blocks.select(F.col("key").alias("_key"), F.col("block").alias("other_block"), F.col("members").alias("right")),
+            (F.col("key") == F.col("_key")) & (F.col("other") == F.col("other_block")),
+            "left",
+        )
+        .filter("other is null or right is not null")
+        .select("left", "right")
     )
-    rest = stage(_linked(across, sets, percent), "rest")
+    rest = stage(sides.mapInArrow(_compared(percent), "u long, v long").distinct(), "rest")
     if not rest.isEmpty():
         found = components(edges.union(rest))
     return assigned.join(found, F.col("cid") == F.col("node"), "left").select(
