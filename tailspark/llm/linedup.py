@@ -32,24 +32,34 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.translate(line, UPPER, LOWER), SPACE), lambda w: w != "")
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once a row, not at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _prefixes(words: Column) -> Column:
     """Hashes of the first 0, 1, ..., n words. Built from blocks, so a very long line stays near linear."""
-    count = F.size(words)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(words, b * BLOCK + 1, BLOCK),
-    )
-    hashes = F.transform(blocks, lambda b: F.xxhash64(b))
-    before = F.transform(
-        F.sequence(F.lit(0), F.size(hashes)), lambda b: F.xxhash64(F.slice(hashes, F.lit(1), b))
-    )
 
-    def prefix(i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        rest = F.slice(F.coalesce(F.get(blocks, block), F.array().cast("array<string>")), F.lit(1), i % BLOCK)
-        return F.xxhash64(F.get(before, block), rest, i)
+    def from_blocks(blocks: Column) -> Column:
+        hashes = F.transform(blocks, lambda b: F.xxhash64(b))
+        sums = _let(
+            hashes,
+            lambda h: F.transform(F.sequence(F.lit(0), F.size(h)), lambda b: F.xxhash64(F.slice(h, F.lit(1), b))),
+        )
+
+        def all_prefixes(before: Column) -> Column:
+            def prefix(i: Column) -> Column:
+                block = F.floor(i / BLOCK).cast("int")
+                rest = F.slice(F.coalesce(F.get(blocks, block), F.array().cast("array<string>")), F.lit(1), i % BLOCK)
+                return F.xxhash64(F.get(before, block), rest, i)
+
+            return F.transform(F.sequence(F.lit(0), F.size(words)), prefix)
 
-    return F.transform(F.sequence(F.lit(0), count), prefix)
+        return _let(sums, all_prefixes)
+
+    last = F.floor((F.size(words) - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(words, b * BLOCK + 1, BLOCK))
+    return _let(cut, from_blocks)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -126,18 +136,26 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
         "survivors",
     )
     n = F.col("n")
-    gaps = lined.withColumns({"p": _prefixes(F.col("words")), "q": _prefixes(F.reverse("words"))})
     # a shared first half leaves gaps in the rest of the line, a shared last half those before it
     low, high = F.floor((n - 1) / 2).cast("int"), F.ceil((n + 1) / 2).cast("int")
     start, stop = F.when(F.col("first") & ~F.col("last"), low).otherwise(0), F.when(F.col("first"), n).otherwise(high)
-    inside = F.sequence(start, F.least(stop, n - 1))
-    left_out = F.transform(
-        inside, lambda i: F.struct(F.xxhash64(F.get("p", i), F.get("q", n - 1 - i)).alias("key"), F.lit(True).alias("gap"))
-    )
-    whole = F.transform(
-        F.sequence(start, stop), lambda i: F.struct(F.xxhash64(F.get("p", i), F.get("q", n - i)).alias("key"), F.lit(False).alias("gap"))
+
+    def keys(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        left_out = F.transform(
+            F.sequence(start, F.least(stop, n - 1)),
+            lambda i: F.struct(F.xxhash64(F.get(p, i), F.get(q, n - 1 - i)).alias("key"), F.lit(True).alias("gap")),
+        )
+        whole = F.transform(
+            F.sequence(start, stop),
+            lambda i: F.struct(F.xxhash64(F.get(p, i), F.get(q, n - i)).alias("key"), F.lit(False).alias("gap")),
+        )
+        return F.concat(left_out, whole)
+
+    both = F.struct(
+        _prefixes(F.col("words")).alias("p"), _let(F.reverse("words"), _prefixes).alias("q")
     )
-    variants = gaps.select("doc", "pos", "h1", F.explode(F.concat(left_out, whole)).alias("v")).select(
+    variants = lined.select("doc", "pos", "h1", F.explode(_let(both, keys)).alias("v")).select(
         "doc", "pos", "h1", "v.key", "v.gap"
     )
     gapped, full = F.when(F.col("gap"), _place()), F.when(~F.col("gap"), _place())
