@@ -36,7 +36,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op5_kneser_ney")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    found, out = perplexity.judged(documents(spark, folder).select("doc_id", "text", "lang"))
+    found, out = perplexity.judged(documents(spark, folder), keep=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
     return found.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
