@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import linedup, minhash, mixing, packing, perplexity
+from tailspark.llm import linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
 from tailspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,11 +24,21 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+@register("op1_closed_syncmers")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprints(documents(spark, folder))
+
+
 @register("op2_sum_of_squares")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
 
+@register("op3_rank_synchronous")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, folder))
+
+
 @register("op4_deletion_neighbourhood", linedup.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return linedup.line_report(documents(spark, folder)).withColumn("dropped", F.array_join("dropped", ","))

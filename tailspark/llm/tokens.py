@@ -40,8 +40,13 @@ class WordCoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, np.ndarray] = {}
         self.pieces: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number; the ids of word i are flat[stop[i]:stop[i + 1]]."""
+        self.words: dict[str, int] = {}
+        self.flat, self.stop = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     @classmethod
     def load(cls, path: str) -> "WordCoder":
@@ -53,8 +58,6 @@ class WordCoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > KNOWN_WORDS:
-            self.words.clear()
         if len(self.pieces) > KNOWN_WORDS:
             self.pieces.clear()
         cut = {}
@@ -77,8 +80,11 @@ class WordCoder:
         for p in new:
             if p not in self.pieces:
                 self.pieces[p] = self.whole(p)
-        for w, parts in cut.items():
-            self.words[w] = self.pieces[parts[0]] if len(parts) == 1 else np.concatenate([self.pieces[p] for p in parts])
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        ids = [self.pieces[p] for w in words for p in cut[w]]
+        sizes = [sum(len(self.pieces[p]) for p in cut[w]) for w in words]
+        self.flat = np.concatenate([self.flat, *ids])
+        self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and how many each text has."""
@@ -86,19 +92,16 @@ class WordCoder:
         words, counts = split_words(texts)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
         missing = [w for w in distinct if w not in self.words]
         if missing:
             self._learn(missing)
-            distinct_ids = [self.words[w] if w in self.words else self.whole(w) for w in distinct]
-        else:
-            distinct_ids = [self.words[w] for w in distinct]
-        lengths = np.array([len(x) for x in distinct_ids], np.int64)
-        flat = np.concatenate(distinct_ids) if distinct_ids else np.empty(0, np.uint32)
-        starts = ends(lengths)[:-1]
-        at = coded.indices.to_numpy() if len(words) else np.empty(0, np.int64)
-        of_word = lengths[at]
+        number = np.fromiter((self.words[w] for w in distinct), np.int64, len(distinct))
+        at = number[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        starts, of_word = self.stop[at], self.stop[at + 1] - self.stop[at]
         total = ends(of_word)
-        ids = flat[np.repeat(starts[at] - total[:-1], of_word) + np.arange(total[-1])] if len(at) else flat[:0]
+        ids = self.flat[np.repeat(starts - total[:-1], of_word) + np.arange(total[-1])]
         sizes = np.diff(total[ends(counts)])
         if odd.any():
             parts = np.split(ids, ends(sizes)[1:-1])
