@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
+from tailspark.llm import arrowfiles, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
 from tailspark.llm.common import documents
+from tailspark.staging import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +52,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
 
+@register("op7_arrow_sequences")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return arrowfiles.round_trip(spark, documents(spark, folder), staging_path(spark, "sequences"))
+
+
 @register("op8_circulant_minhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(documents(spark, folder), words=2)
