@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import arrowfiles, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
+from tailspark.llm import arrowfiles, licences, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
 from tailspark.llm.common import documents
 from tailspark.staging import staging_path
 
@@ -52,6 +52,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
 
+@register("op6_rare_token_index")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.digest(licences.scan(documents(spark, folder)))
+
+
 @register("op7_arrow_sequences")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return arrowfiles.round_trip(spark, documents(spark, folder), staging_path(spark, "sequences"))
