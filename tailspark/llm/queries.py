@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import arrowfiles, licences, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount
+from tailspark.llm import arrowfiles, licences, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount, transcripts
 from tailspark.llm.common import documents
 from tailspark.staging import staging_path
 
@@ -74,3 +74,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.copies_of(documents(spark, folder))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_copies")).alias("taken"))
+
+
+@register("op10_hmm_transcripts")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.parse(spark.read.parquet(f"{folder}/conversations.parquet"))
