@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tailspark.llm.common import chunks, ends, split_words, text_column
 
-ANCHORS, VOTES = 4, 2
+ANCHORS, VOTES = 8, 2
 
 # The phrases that the contract names.
 PHRASES = (
@@ -148,7 +148,7 @@ def find(numbers: np.ndarray, counts: np.ndarray, template: Template, frequency:
     words = np.array(template.words)
     at = ends(counts)
     order = np.lexsort((np.arange(len(words)), frequency[words]))
-    wanted = order[:1] if template.base or len(words) < 2 * ANCHORS else order[:ANCHORS]
+    wanted = order[:1] if template.base or len(words) < ANCHORS else order[:ANCHORS]
     starts = [np.flatnonzero(numbers == words[j]) - j for j in wanted]
     found, votes = np.unique(np.concatenate(starts), return_counts=True)
     found = found[votes >= min(VOTES, len(wanted))]

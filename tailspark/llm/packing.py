@@ -41,7 +41,7 @@ class Levels:
         after = n[size : w + 1].astype(np.float64)
         after[-1] = -0.5  # a full window has no square
         change = after - n[: w - size + 1]
-        change[0] = after[0] + 0.5  # a new window leaves no level
+        change[0] = after[0] - 0.5  # a new window leaves no level
         change[1:][n[1 : w - size + 1] == 0] = np.inf
         if size == w:
             return 0
