@@ -109,11 +109,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
     """
     last = F.lit(2**63 - 1)
     lines = lines_of(docs).withColumn("doc", F.coalesce("doc", last))
-    keyed = _keyed(lines, min_words)
     half = F.when(F.col("n") >= edit_words, _halves(F.col("n"), F.col("words")))
+    keyed = stage(_keyed(lines, min_words).withColumn("halves", half).drop("words"), "keyed")
     classes = stage(
-        keyed.withColumn("halves", half)
-        .groupBy("h1", "h2", "n", "halves")
+        keyed.groupBy("h1", "h2", "n", "halves")
         .agg(F.min(_place()).alias("place"), F.count("*").alias("copies")),
         "lines",
     )
