@@ -338,7 +338,7 @@ def sector_map(spark, folder):
     return loaders.load_sector_map(spark, raw)
 
 
-_REGIONS = ("AFRICA", "AMERICA", "ASIA")
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
 @register(
@@ -347,7 +347,7 @@ _REGIONS = ("AFRICA", "AMERICA", "ASIA")
         """select r.r_name as ticker, p.date, sum(p.adj_close * p.volume) / sum(p.volume) as adj_close, sum(p.volume) as volume
         from prices p join supplier s on p.ticker = concat('S', cast(s.s_suppkey as varchar))
         join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey
-        where r.r_name in ('AFRICA', 'AMERICA', 'ASIA') group by 1, 2""",
+        group by 1, 2""",
         "prices",
         rounded="adj_close volume",
     ),
@@ -830,8 +830,11 @@ BUSINESS_SQL = """select round(s.annual, 4) as strategy_annual_return, round(b.a
     round(b.drawdown - s.drawdown, 4) as drawdown_improvement, round(s.var95, 4) as var_95_weekly, round(b.var95, 4) as benchmark_var_95_weekly,
     round(s.cvar95, 4) as cvar_95_weekly, round(b.cvar95, 4) as benchmark_cvar_95_weekly, s.n as evaluation_weeks,
     (select round(avg(n_excluded / (n_excluded + n_holdings)), 3) from overlay) as high_risk_excluded_pct,
-    round((s.annual - b.annual) * 1e9 / 800000, 2) as team_roi, (s.annual - b.annual) * 1e9 > 800000 as justifies_team
-    from strategy_m s cross join benchmark_m b"""
+    round((s.annual - b.annual) * 1e9 / 800000, 2) as team_roi, (s.annual - b.annual) * 1e9 > 800000 as justifies_team,
+    0.0::double as benchmark_alpha_annualized, 0.0::double as benchmark_high_risk_excluded_pct, 0.0::double as benchmark_economic_gain_annual,
+    1e9::double as fund_aum, 8e5::double as team_annual_cost, round((s.annual - b.annual) * 1e9, 0) as economic_gain_annual, '-' as benchmark_team_roi,
+    'weekly_forward_overlay' as business_analysis_method, '{note}' as business_analysis_note
+    from strategy_m s cross join benchmark_m b""".format(note=portfolio.NOTE)
 
 
 def calm_overlay(spark, folder):
@@ -845,17 +848,25 @@ def calm_overlay(spark, folder):
 
 @register("business_summary", sql(BUSINESS_SQL, "overlay", extra=_side_sql("strategy") | _side_sql("benchmark")))
 def business_summary(spark, folder):
-    wide = portfolio.business_summary(calm_overlay(spark, folder))
-    return wide.select(
-        "strategy_annual_return", "benchmark_annual_return", "alpha_annualized", "strategy_sharpe",
-        "benchmark_sharpe", "strategy_sortino", "benchmark_sortino", "max_drawdown_strategy",
-        "max_drawdown_benchmark", "drawdown_improvement", "var_95_weekly", "benchmark_var_95_weekly",
-        "cvar_95_weekly", "benchmark_cvar_95_weekly", "evaluation_weeks", "high_risk_excluded_pct",
-        "team_roi", "justifies_team",
-    )
+    return portfolio.business_summary(calm_overlay(spark, folder))
 
 
-@register("business_metric_rows")
+BUSINESS_NAMES = (
+    "strategy_annual_return benchmark_annual_return alpha_annualized benchmark_alpha_annualized strategy_sharpe benchmark_sharpe "
+    "strategy_sortino benchmark_sortino max_drawdown_strategy max_drawdown_benchmark drawdown_improvement var_95_weekly "
+    "benchmark_var_95_weekly cvar_95_weekly benchmark_cvar_95_weekly evaluation_weeks high_risk_excluded_pct "
+    "benchmark_high_risk_excluded_pct business_analysis_method fund_aum economic_gain_annual benchmark_economic_gain_annual "
+    "team_annual_cost team_roi benchmark_team_roi business_analysis_note"
+).split()
+# each entry as text: a truth value capitalised, a missing one as None
+METRIC_SQL = "select unnest([{}, 'justifies_team']) as metric, unnest([{}, case when justifies_team then 'True' else 'False' end]) as value from ({})".format(
+    ", ".join(f"'{n}'" for n in BUSINESS_NAMES),
+    ", ".join(f"coalesce(cast({n} as varchar), 'None')" for n in BUSINESS_NAMES),
+    BUSINESS_SQL,
+)
+
+
+@register("business_metric_rows", sql(METRIC_SQL, "overlay", extra=_side_sql("strategy") | _side_sql("benchmark")))
 def business_metric_rows(spark, folder):
     """The same row as (metric, value) text."""
     return sinks.to_metric_rows(portfolio.business_summary(calm_overlay(spark, folder)))
@@ -1570,7 +1581,7 @@ def exact_medians(spark, folder):
     from tailspark.operators.selection import exact_medians as medians
 
     names = ("l_quantity", "l_extendedprice", "l_discount")
-    found = medians(adapters.table(spark, folder, "lineitem"), names, small=100, cells=16)
+    found = medians(adapters.table(spark, folder, "lineitem"), names, left=100, cells=16)
     return rounded(spark.createDataFrame(list(found.items()), "name string, median double"))
 
 

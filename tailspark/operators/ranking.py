@@ -1,10 +1,7 @@
-"""Exact ranks, quantiles and cuts for groups of any size.
+"""Exact ranks, quantiles and cuts for groups of any size, by one plan.
 
-A ranking window sorts a whole group in one task. That is the cheapest plan, one shuffle,
-while groups are small, so each operator first counts its largest group (a scan of the key
-columns with map-side combine). Beyond `GROUP_LIMIT` rows, as when one date, sector or split
-holds a large share of all rows, the group is spread over range partitions ("slices"),
-ranked inside each, and shifted by the totals of the slices before it:
+A ranking window would sort a whole group in one task. Here a group is spread over range
+partitions ("slices"), ranked inside each, and shifted by the totals of the slices before it:
 
 1. `repartitionByRange(keys, order)` cuts at sampled bounds, also inside one hot group;
 2. the slice number is written down with the rows, so every later reader sees one and the
@@ -12,8 +9,7 @@ ranked inside each, and shifted by the totals of the slices before it:
 3. totals per (group, slice) are summed up over the slices before, a table of at most
    groups + slices rows, and joined back.
 
-Both ways give the same rows. The tables passed in are stored ones, or come with a stored
-table (`sized_by`) whose groups are at least as large.
+So one date, sector or split may hold most rows, and ties collapse before any sort of values.
 """
 
 from __future__ import annotations
@@ -25,37 +21,13 @@ from pyspark.sql import functions as F
 
 from tailspark.staging import stage
 
-# Rows of one group that one task may sort.
-GROUP_LIMIT = 200_000
-
-
-def groups_fit_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return (counts.agg(F.max("n").alias("n")).first().n or 0) <= GROUP_LIMIT
-
-
 def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column],
-    sized_by: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]
 ) -> DataFrame:
     """Add, per entry of `sums`, the total over the rows before this one in its group.
 
     `order` must be total within a group for a repeatable result.
     """
-    if groups_fit_one_task(df if sized_by is None else sized_by, keys):
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(name) for name, v in sums.items()]
-        )
-    return sliced_running_totals(df, keys, order, sums)
-
-
-def sliced_running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]
-) -> DataFrame:
     ranged = df.select(
         "*", *[value.alias(f"_value_{name}") for name, value in sums.items()]
     ).repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -97,10 +69,9 @@ def with_position(
     keys: Sequence[str],
     order: Sequence[Column],
     name: str = "position",
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Row number within the group, from 1."""
-    counted = running_totals(df, keys, order, {name: F.lit(1).cast("long")}, sized_by)
+    counted = running_totals(df, keys, order, {name: F.lit(1).cast("long")})
     return counted.withColumn(name, F.col(name) + 1)
 
 
@@ -110,17 +81,9 @@ def with_position_and_size(
     order: Sequence[Column],
     position: str,
     size: str,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Row number and row count of the group."""
-    if groups_fit_one_task(df if sized_by is None else sized_by, keys):
-        group = Window.partitionBy(*keys)
-        return df.select(
-            "*",
-            F.row_number().over(group.orderBy(*order)).alias(position),
-            F.count("*").over(group).alias(size),
-        )
-    counted = sliced_running_totals(df, keys, order, {position: F.lit(1).cast("long")})
+    counted = running_totals(df, keys, order, {position: F.lit(1).cast("long")})
     sizes = df.groupBy(*keys).agg(F.count("*").alias(size))
     return counted.withColumn(position, F.col(position) + 1).join(sizes, list(keys))
 
@@ -139,13 +102,8 @@ def _group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def attach_percentile(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average rank among ties over the group's non-null count; null for a null value."""
     x = F.col(value)
-    if groups_fit_one_task(df, keys):
-        group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
-        rank = F.rank().over(group.orderBy(x.asc_nulls_last()))
-        average = (rank + (F.count("*").over(ties) - 1) / 2) / F.count(x).over(group)
-        return df.select("*", F.when(x.isNotNull(), average).alias(name))
     counts = value_counts(df, keys, value)
-    ranked = sliced_running_totals(counts, keys, [x.asc()], {"_before": F.col("_ties")})
+    ranked = running_totals(counts, keys, [x.asc()], {"_before": F.col("_ties")})
     table = ranked.join(_group_sizes(df, keys, value), list(keys)).select(
         *keys, value, ((F.col("_before") + (F.col("_ties") + 1) / 2) / F.col("_size")).alias(name)
     )
@@ -156,10 +114,7 @@ def attach_percentile(df: DataFrame, keys: Sequence[str], value: str, name: str)
 
 def group_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
     """(keys, name): the linearly interpolated quantile of each group's non-null values."""
-    if groups_fit_one_task(df, keys):
-        known = df.where(F.col(value).isNotNull())
-        return known.groupBy(*keys).agg(F.percentile(value, float(share)).alias(name))
-    ranked = sliced_running_totals(
+    ranked = running_totals(
         value_counts(df, keys, value), keys, [F.col(value).asc()], {"_before": F.col("_ties")}
     )
     place = (F.col("_size") - 1) * F.lit(float(share))
@@ -191,11 +146,10 @@ def with_risk_bucket(
     tie: Sequence[str] = ("ticker",),
     high_share: float = 0.20,
     medium_share: float = 0.40,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """High / Medium / Low by rank within the group, highest probability first."""
     order = [F.col(probability).desc(), *[F.col(c).asc() for c in tie]]
-    ranked = with_position_and_size(df, keys, order, "_position", "_size", sized_by)
+    ranked = with_position_and_size(df, keys, order, "_position", "_size")
     high = F.greatest(F.lit(1), F.ceil(F.col("_size") * F.lit(float(high_share))))
     medium = F.greatest(F.lit(0), F.ceil(F.col("_size") * F.lit(float(medium_share))))
     bucket = (

@@ -43,21 +43,17 @@ def _long(df: DataFrame, searches: dict[str, _Search], cells: int | None = None)
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], small: int = 50_000, cells: int = 1024, rounds: int = 12
+    df: DataFrame, columns: Sequence[str], left: int = 50_000, cells: int = 1024
 ) -> dict[str, float | None]:
-    """Median per column, None for a column without values. `df` is stored: it is read a few times."""
+    """Median per column, None for a column without values. `df` is stored: it is read a few times.
+
+    Rounds go on until at most `left` values of a column are between its bounds.
+    """
     row = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(columns)],
         *[F.max(F.col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(columns)],
     ).first()
-    if max(row[f"n{i}"] for i in range(len(columns))) <= small:
-        # the exact percentile holds its distinct values in memory, which `small` bounds
-        middle = df.agg(
-            *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: middle[f"m{i}"] for i, c in enumerate(columns)}
-
     found: dict[str, float | None] = {}
     searches: dict[str, _Search] = {}
     for i, c in enumerate(columns):
@@ -66,10 +62,7 @@ def exact_medians(
             found[c] = None
         else:
             searches[c] = _Search(row[f"a{i}"], row[f"b{i}"], (n - 1) // 2, n // 2, n)
-    for _ in range(rounds):
-        wide = {c: s for c, s in searches.items() if s.inside > small and s.low < s.high}
-        if not wide:
-            break
+    while wide := {c: s for c, s in searches.items() if s.inside > left and s.low < s.high}:
         searches |= _narrowed(df, wide, cells)
 
     for c in [c for c, s in searches.items() if s.low == s.high]:

@@ -32,14 +32,13 @@ group by l.l_suppkey, last_day(cast(l.l_shipdate as date))""",
     "fundamentals": """
 select *, period_end + 45 as available_date from (
   select concat('S', cast(l.l_suppkey as varchar)) as ticker,
-         last_day(cast(o.o_orderdate as date)) as period_end,
+         last_day(cast(date_trunc('quarter', o.o_orderdate) as date) + interval 2 month) as period_end,
          sum(o.o_totalprice) as market_cap, cast(1000 * count(*) as double) as shares_outstanding,
          avg(o.o_totalprice) / nullif(max(s.s_acctbal), 0) as market_to_book,
          avg(l.l_discount) as leverage, avg(l.l_tax) as roa
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey
        join supplier s on l.l_suppkey = s.s_suppkey
-  where month(o.o_orderdate) in (3, 6, 9, 12)
-  group by l.l_suppkey, last_day(cast(o.o_orderdate as date)))""",
+  group by l.l_suppkey, date_trunc('quarter', o.o_orderdate))""",
     "news_text": """
 select concat('S', cast(doc_id % (select count(*) from supplier) as varchar)) as ticker,
        date '1995-01-06' + cast((doc_id * 37) % 2300 as int) as date, source, text, doc_id as text_id

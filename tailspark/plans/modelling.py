@@ -49,19 +49,22 @@ GRIDS: dict[str, dict[str, list]] = {
         "classifier__learning_rate": [0.05, 0.10],
     },
 }
-# Defaults outside a search. A forest's depth is unlimited in the method; here it is
-# bounded, as a level doubles the statistics Spark ships per tree.
+# Defaults outside a search. A forest's depth is unlimited in the method; 30 is the most that Spark's
+# forests take. Split points of a feature come from `classifier__max_bins` quantile bins (Spark's
+# trees have no exact splits); raise it for finer ones.
 DEFAULTS = {
     "logistic_regression": {"classifier__C": 1.0},
     "random_forest": {
         "classifier__n_estimators": 100,
-        "classifier__max_depth": 12,
+        "classifier__max_depth": 30,
         "classifier__min_samples_leaf": 1,
+        "classifier__max_bins": 32,
     },
     "gradient_boosting": {
         "classifier__n_estimators": 100,
         "classifier__max_depth": 3,
         "classifier__learning_rate": 0.1,
+        "classifier__max_bins": 32,
     },
 }
 
@@ -149,6 +152,7 @@ def _classifier(model_type: str, params: dict[str, Any], seed: int, rows: int):
             numTrees=params["classifier__n_estimators"],
             maxDepth=params["classifier__max_depth"],
             minInstancesPerNode=params["classifier__min_samples_leaf"],
+            maxBins=params["classifier__max_bins"],
             featureSubsetStrategy="sqrt",
             seed=seed,
         )
@@ -158,6 +162,7 @@ def _classifier(model_type: str, params: dict[str, Any], seed: int, rows: int):
             maxIter=params["classifier__n_estimators"],
             maxDepth=params["classifier__max_depth"],
             stepSize=params["classifier__learning_rate"],
+            maxBins=params["classifier__max_bins"],
             # the ensemble's lineage is cut at the session's checkpoint folder
             checkpointInterval=10,
             seed=seed,
@@ -251,7 +256,11 @@ def cross_validate(
     candidates: list[dict[str, Any]] | None = None,
     parallelism: int = 4,
 ) -> CrossValidation:
-    """Expanding-window search: fold i trains on all rows before its block, in (date, ticker) order."""
+    """Expanding-window search: fold i trains on all rows before its block, in (date, ticker) order.
+
+    A fold whose training rows or block hold one class only has no score; a candidate's mean and
+    deviation are over the folds that have one. Without any score at all the search fails.
+    """
     candidates = candidates or grid(model_type)
     # one position per training row: the whole split is one group
     ordered = stage(with_position(train, [], [F.col("date").asc(), F.col("ticker").asc()], "_row"), "folds")
@@ -264,16 +273,25 @@ def cross_validate(
         rawPredictionCol="_score", labelCol=LABEL, metricName="areaUnderROC", numBins=0
     )
 
-    def one(task: tuple[dict[str, Any], int]) -> float:
+    def parts(start: int) -> tuple[DataFrame, DataFrame]:
+        return ordered.where(F.col("_row") <= start), ordered.where(F.col("_row").between(start + 1, start + block))
+
+    usable = {s: all(p.select(LABEL).distinct().count() == 2 for p in parts(s)) for s in starts}
+
+    def one(task: tuple[dict[str, Any], int]) -> float | None:
         params, start = task
-        model = fit(ordered.where(F.col("_row") <= start), features, model_type, params, seed)
-        block_rows = ordered.where((F.col("_row") > start) & (F.col("_row") <= start + block))
+        if not usable[start]:
+            return None
+        before, block_rows = parts(start)
+        model = fit(before, features, model_type, params, seed)
         return area.evaluate(model.predict(block_rows, "_score").withColumn(LABEL, F.col(LABEL).cast("double")))
 
     tasks = [(params, start) for params in candidates for start in starts]
     with ThreadPoolExecutor(parallelism) as pool:
         areas = list(pool.map(inheritable_thread_target(train.sparkSession)(one), tasks))
-    scores = [areas[i * folds : (i + 1) * folds] for i in range(len(candidates))]
+    scores = [[a for a in areas[i * folds : (i + 1) * folds] if a is not None] for i in range(len(candidates))]
+    if not scores[0]:
+        raise ValueError("No fold has both classes in its training rows and in its block")
     best = max(range(len(candidates)), key=lambda i: fmean(scores[i]))
     return CrossValidation(
         candidates[best], fmean(scores[best]), pstdev(scores[best]), folds, len(candidates)
@@ -344,7 +362,7 @@ def score_latest(
     rows = model.predict(panel.where(F.col("date") == F.lit(newest))).select(
         "ticker", "date", "crash_probability", model.top_drivers(top_n).alias("top_drivers")
     )
-    return with_risk_bucket(rows, ["date"], sized_by=panel).select(
+    return with_risk_bucket(rows, ["date"]).select(
         "ticker", F.col("date").cast("string").alias("as_of_date"), "crash_probability", "risk_bucket", "top_drivers"
     )
 

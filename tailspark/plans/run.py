@@ -24,6 +24,15 @@ SHORT = {
 }
 
 
+# Tables whose files come out in order; reports keep the order that they are made in.
+ORDERED = {
+    "price_history": ("ticker", "date"),
+    "business_portfolio_returns": ("date",),
+    "quarter_backtest_returns": ("date",),
+    "textual_analysis": ("ticker", "date"),
+}
+
+
 @dataclass(frozen=True)
 class RunResult:
     panel: DataFrame
@@ -39,12 +48,12 @@ def run(
     settings: Settings | None = None,
     tune: bool = False,
     model_types: tuple[str, ...] = modelling.MODEL_TYPES,
-    list_excluded: bool = True,
+    list_excluded: bool = False,
 ) -> RunResult:
     """All tables of a run. Nothing is written but staged intermediates; see `write`."""
     settings = settings or Settings()
-    raw = {name: loaders.read_table(spark, source) for name, source in sources.items()}
-    loaded = loaders.load_tables(spark, raw, settings)
+    raw = {name: stage(loaders.read_table(spark, source), f"raw_{name}") for name, source in sources.items()}
+    loaded = {name: stage(df, name) for name, df in loaders.load_tables(spark, raw, settings).items()}
     files = {n: s for n, s in sources.items() if isinstance(s, str)}
 
     news = loaders.load_text(spark, text_source)
@@ -86,11 +95,9 @@ def run(
         ),
         **text_tables(spark, news, weekly, dataset, settings),
     }
-    try:
+    # a quarter needs a date to score at and `settings.horizon` dates after it
+    if panel.select("date").distinct().count() > settings.horizon:
         quarter = portfolio.quarter_backtest(scored, features=settings.features)
-    except ValueError:
-        quarter = None  # too few dates for a quarter: its tables are left out
-    if quarter:
         tables["quarter_backtest_returns"] = quarter["weekly"]
         tables["quarter_excluded_stocks"] = quarter["excluded"]
         tables["quarter_backtest_summary"] = quarter["summary"]
@@ -143,7 +150,7 @@ def write(result: RunResult, processed: str, outputs: str, json_folder: str | No
     sinks.write_parquet_by_year(result.panel, f"{processed}/feature_panel.parquet")
     sinks.write_parquet_by_year(result.dataset, f"{processed}/model_dataset.parquet")
     for name, table in result.tables.items():
-        sinks.write_csv(table, f"{outputs}/{name}.csv", single_file=name in SHORT)
+        sinks.write_csv(table.orderBy(*ORDERED[name]) if name in ORDERED else table, f"{outputs}/{name}.csv", single_file=name in SHORT)
     if json_folder:
         sinks.write_payload(payload(result), json_folder)
 

@@ -185,26 +185,16 @@ def default_stop_words() -> list[str]:
     )
 
 
-# A ticker can only stop a word made of letters. Up to this many such tickers are put into
-# the filter as a set; a larger universe takes the join in `_without_tickers`.
-TICKER_SET_LIMIT = 20_000
-
-
-def kept_words(texts: DataFrame, stop_words: Sequence[str], ticker_set_limit: int = TICKER_SET_LIMIT) -> DataFrame:
+def kept_words(texts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(columns of texts, words): phrase tokens without stop words and tickers.
 
-    Needs a `text_id` column.
+    Needs a `text_id` column. A ticker can only stop a word made of letters; the tickers are a
+    table of any size, so they leave by an anti-join.
     """
-    stop = set(stop_words)
     spelled = texts.select(F.lower("ticker").alias("word")).where(F.col("word").rlike("^[a-z]{2,}$")).distinct()
-    found = [r.word for r in spelled.limit(ticker_set_limit + 1).collect()]
-    few = len(found) <= ticker_set_limit
-    if few:
-        stop |= set(found)
-    plain = texts.withColumn(
-        "words", F.filter(words.phrase_tokens(F.col("text")), lambda w: ~w.isin(sorted(stop)))
-    )
-    return plain if few else _without_tickers(plain, spelled)
+    stop = sorted(set(stop_words))
+    plain = texts.withColumn("words", F.filter(words.phrase_tokens(F.col("text")), lambda w: ~w.isin(stop)))
+    return _without_tickers(plain, spelled)
 
 
 def with_text_id(texts: DataFrame) -> DataFrame:

@@ -59,11 +59,13 @@ def controversies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fundamentals_raw(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").where(F.month("o_orderdate").isin(3, 6, 9, 12))
+    # an order counts for the quarter that it falls in
+    quarter_end = F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate"), 2))
+    orders = table(spark, folder, "orders").withColumn("_quarter_end", quarter_end)
     quarterly = (
         table(spark, folder, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_suppkey", F.last_day("o_orderdate").alias("period_end"))
+        .groupBy("l_suppkey", F.col("_quarter_end").alias("period_end"))
         .agg(
             F.sum("o_totalprice").alias("market_cap"),
             (1000.0 * F.count("*")).alias("shares_outstanding"),

@@ -56,8 +56,12 @@ def _as_text(df: DataFrame, field: T.StructField):
     elif isinstance(field.dataType, T.DoubleType):
         # whole numbers without an exponent
         whole = (column == F.floor(column)) & (F.abs(column) >= 1e7) & (F.abs(column) < 1e15)
-        text = F.when(whole, F.concat(column.cast("bigint").cast("string"), F.lit(".0"))).otherwise(
-            column.cast("string")
+        # nor do sizes from 0.0001 on
+        small = F.abs(column).between(1e-4, 1e-3)
+        text = (
+            F.when(whole, F.concat(column.cast("bigint").cast("string"), F.lit(".0")))
+            .when(small, F.regexp_replace(column.cast("decimal(20,18)").cast("string"), "0+$", ""))
+            .otherwise(column.cast("string"))
         )
     else:
         text = column.cast("string")

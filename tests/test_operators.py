@@ -158,26 +158,15 @@ def test_beta(spark):
     assert flat.select(stats.beta_from("b").alias("b")).first().b is None
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_percentile_with_ties_and_nulls(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
+def test_percentile_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, None), (4, 3.0)], "i int, v double").withColumn("g", F.lit("x"))
     got = {r.i: r.p for r in ranking.attach_percentile(df, ["g"], "v", "p").collect()}
     assert got == {1: 0.5, 2: 0.5, 3: None, 4: 1.0}
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
 @FEW
 @given(rows=st.lists(st.tuples(st.sampled_from("aaab"), st.integers(0, 6)), min_size=1, max_size=60))
-def test_ranks_equal_pandas_by_window_and_by_slices(spark, limit, rows):
-    before, ranking.GROUP_LIMIT = ranking.GROUP_LIMIT, limit
-    try:
-        check_ranks(spark, rows)
-    finally:
-        ranking.GROUP_LIMIT = before
-
-
-def check_ranks(spark, rows):
+def test_ranks_equal_pandas(spark, rows):
     pdf = pd.DataFrame(rows, columns=["g", "v"]).assign(i=range(len(rows)))
     df = spark.createDataFrame(pdf.assign(v=pdf.v.astype(float)))
     got = ranking.attach_percentile(df, ["g"], "v", "p").toPandas().set_index("i").sort_index()
@@ -200,7 +189,6 @@ def test_one_hot_group_is_spread_over_slices(spark):
         seen["slices"] = original(frame, label, *a)
         return seen["slices"]
 
-    before, ranking.GROUP_LIMIT = ranking.GROUP_LIMIT, 1000
     ranking.stage = spy
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -208,14 +196,12 @@ def test_one_hot_group_is_spread_over_slices(spark):
         assert placed.where(F.col("position") != F.col("v") + 1).count() == 0
         sizes = [r["count"] for r in seen["slices"].groupBy("_slice").count().collect()]
     finally:
-        ranking.stage, ranking.GROUP_LIMIT = original, before
+        ranking.stage = original
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) > 1 and max(sizes) < 30_000
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_risk_buckets(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", limit)
+def test_risk_buckets(spark):
     rows = [("t%d" % i, day(0), p) for i, p in enumerate([0.1, 0.8, 0.4, 0.2, 0.7])]
     got = {r.ticker: r.risk_bucket for r in ranking.with_risk_bucket(spark.createDataFrame(rows, "ticker string, date date, crash_probability double")).collect()}
     assert got["t1"] == "High" and sorted(got.values()) == ["High", "Low", "Low", "Medium", "Medium"]
@@ -248,8 +234,8 @@ def test_split_cuts(spark):
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=80))
 def test_exact_medians(spark, values):
     df = spark.createDataFrame([(v, 1.0, None) for v in values], "a double, b double, c double")
-    for small in (3, 1000):
-        got = selection.exact_medians(df, ["a", "b", "c"], small=small, cells=4)
+    for left in (3, 1000):
+        got = selection.exact_medians(df, ["a", "b", "c"], left=left, cells=4)
         known = [v for v in values if v is not None]
         assert close(got["a"], float(np.median(known)) if known else None)
         assert got["b"] == 1.0 and got["c"] is None
