@@ -81,14 +81,16 @@ def forget() -> None:
 
 
 def shared(function: Query) -> Query:
-    """Stage the result once per session and folder."""
+    """Stage the result once per session and folder, ordered by date if it has one."""
 
     @wraps(function)
     def cached(spark: SparkSession, folder: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, folder, function.__name__)
         known = _STAGED.get(key)
         if known is None or not loaders._exists(spark, known.inputFiles()[0]):
-            _STAGED[key] = stage(function(spark, folder), function.__name__)
+            made = function(spark, folder)
+            by = [c for c in ("date", "ticker") if c in made.columns]
+            _STAGED[key] = stage(made, function.__name__, order_by=by if by[:1] == ["date"] else None)
         return _STAGED[key]
 
     return cached

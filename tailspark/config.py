@@ -33,18 +33,28 @@ TEXT_SIGNALS = ("negative_esg_controversy_score_0_100", "rolling_sentiment_13w")
 
 # Fixed values of the method: the group each feature is reported under.
 FEATURE_GROUPS = {
-    "Crash history": ("lagged_ncskew", "lagged_duvol"),
-    "Trading activity": ("detrended_turnover",),
-    "Downside risk": (
-        "trailing_return",
-        "realized_volatility",
-        "beta",
-        "downside_beta",
-        "relative_downside_beta",
-    ),
-    "Fundamentals": ("market_cap", "market_to_book", "leverage", "roa"),
-    "ESG controversy": tuple(f for f in FEATURES if f.startswith("controversy_")),
-    "Text signal": TEXT_SIGNALS,
+    "lagged_ncskew": "Crash history",
+    "lagged_duvol": "Crash history",
+    "detrended_turnover": "Trading activity",
+    "trailing_return": "Downside risk",
+    "realized_volatility": "Downside risk",
+    "beta": "Downside risk",
+    "downside_beta": "Downside risk",
+    "relative_downside_beta": "Downside risk",
+    "market_cap": "Fundamentals",
+    "market_to_book": "Fundamentals",
+    "leverage": "Fundamentals",
+    "roa": "Fundamentals",
+    "controversy_score": "ESG controversy",
+    "controversy_change_4w": "ESG controversy",
+    "controversy_change_13w": "ESG controversy",
+    "controversy_change_26w": "ESG controversy",
+    "controversy_rolling_mean_13w": "ESG controversy",
+    "controversy_rolling_std_13w": "ESG controversy",
+    "controversy_spike_flag": "ESG controversy",
+    "controversy_sector_percentile": "ESG controversy",
+    "negative_esg_controversy_score_0_100": "Text signal",
+    "rolling_sentiment_13w": "Text signal",
 }
 
 
@@ -81,10 +91,7 @@ def is_esg(column: str) -> bool:
 
 
 def feature_group(column: str) -> str:
-    for group, members in FEATURE_GROUPS.items():
-        if column in members:
-            return group
-    return "Other"
+    return FEATURE_GROUPS.get(column, "Other")
 
 
 class SchemaError(ValueError):

@@ -176,6 +176,11 @@ def price_scenarios(panel: DataFrame, scores: DataFrame, horizon: int = 13, z: f
     )
 
 
+def top_importances(importances: DataFrame, n: int = 10) -> DataFrame:
+    """The `n` heaviest features of an importance table, ties by name."""
+    return importances.orderBy(F.col("importance").desc(), "feature").limit(n)
+
+
 def representative_tickers(scores: DataFrame) -> DataFrame:
     """Two riskiest High and two safest Low names, filled up to four by probability."""
     p = F.col("crash_probability")

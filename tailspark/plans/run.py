@@ -59,7 +59,7 @@ def run(
     news = loaders.load_text(spark, text_source)
     weekly = stage(text.weekly_text(news.texts, news.source_file), "weekly_text") if news.texts is not None else None
     labelled = text.attach_text_signals(features.labelled_panel(loaded, settings), weekly)
-    dataset = stage(labelled, "dataset")
+    dataset = stage(labelled, "dataset", order_by=["date", "ticker"])
     panel = dataset.drop("future_ncskew", "future_duvol", "high_crash_risk")
 
     trained = modelling.train_classifier(dataset, settings, tune=tune)

@@ -24,12 +24,15 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` to the staging folder and return a fresh scan of it."""
+def stage(df: DataFrame, label: str, order_by: list[str] | None = None) -> DataFrame:
+    """Write `df` to the staging folder and return a fresh scan of it.
+
+    With `order_by` the files hold ranges of these columns in order, so a filter on the first of them skips
+    files and row groups by their statistics.
+    """
     spark = df.sparkSession
     path = staging_path(spark, label)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if order_by:
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

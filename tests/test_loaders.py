@@ -123,3 +123,29 @@ def test_sinks(spark, tmp_path):
     assert {r.metric: r.value for r in sinks.to_metric_rows(line).collect()} == {
         "a": "1000000000.0", "b": "0.25", "c": "None", "d": "True", "e": "3",
     }
+
+
+@pytest.mark.parametrize(
+    "cells, want",
+    [
+        (["20200103", "20200215", "x"], ["2020-01-03", "2020-02-15", None]),
+        (["3 Jan 2020", "15 feb 2020", "2020-01-01"], ["2020-01-03", "2020-02-15", None]),
+        (["2020-1-3 10:30:00", "2020/02/15", "1/2/2020"] * 3 + ["2020-02-15"] * 9, ["2020-01-03", "2020-02-15", None]),
+        (["1/2/2020", "2/15/2020"], ["2020-01-02", "2020-02-15"]),
+    ],
+)
+def test_date_layouts(spark, cells, want):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, d string")
+    got = [r.d for r in df.select("i", loaders.parsed_date(df, "d").alias("d")).orderBy("i").collect()]
+    assert [None if d is None else d.isoformat() for d in got[: len(want)]] == want
+
+
+def test_fixed_day_first(spark):
+    df = spark.createDataFrame([("1-2-2020",), ("1/3/2020",)], "d string")
+    got = [r.d.isoformat() for r in df.select(loaders.parsed_date(df, "d", day_first=True).alias("d")).collect()]
+    assert sorted(got) == ["2020-02-01", "2020-03-01"]
+
+
+def test_spellings_are_taken_in_the_order_of_the_list(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "Full_Text string, `News Text` string, summary string")
+    assert loaders.harmonise_text_columns(df).columns == ["text", "News Text", "summary"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailspark import Settings
-from tailspark.plans import evaluation, modelling
+from tailspark.plans import evaluation, modelling, reports
 
 NAMES = ("lagged_ncskew", "lagged_duvol", "controversy_score")
 FEW = Settings(features=NAMES, cv_folds=2)
@@ -138,3 +138,24 @@ def test_confusion_and_empty_calibration_bins(spark):
     nothing = scored(spark, [(0, 0.1), (0, 0.2)])
     row = evaluation.class_metrics(nothing).first()
     assert (row.precision, row.recall, row.f1, row.roc_auc) == (0.0, 0.0, 0.0, None)
+
+
+def test_one_class_fold_has_no_score(spark):
+    rows = [(f"T{i % 3}", dt.date(2020, 1, 3) + dt.timedelta(weeks=i), int(i > 20 and i % 2), float(i % 7)) for i in range(60)]
+    train = spark.createDataFrame(rows, f"ticker string, date date, {modelling.LABEL} int, x double")
+    found = modelling.cross_validate(train, ["x"], "logistic_regression", folds=5, candidates=[{}])
+    assert 0 <= found.mean_auc <= 1
+    flat = train.withColumn(modelling.LABEL, F.lit(0))
+    with pytest.raises(ValueError, match="No fold"):
+        modelling.cross_validate(flat, ["x"], "logistic_regression", folds=2, candidates=[{}])
+
+
+def test_forests_are_deep_unless_bounded(spark):
+    assert modelling.DEFAULTS["random_forest"]["classifier__max_depth"] > 12
+    forest = modelling._classifier("random_forest", modelling.DEFAULTS["random_forest"] | {"classifier__max_bins": 64}, 1, 10)
+    assert forest.getMaxDepth() == 30 and forest.getMaxBins() == 64
+
+
+def test_top_importances(spark):
+    table = spark.createDataFrame([(f"f{i}", float(i % 3)) for i in range(12)], "feature string, importance double")
+    assert [r.feature for r in reports.top_importances(table, 3).collect()] == ["f11", "f2", "f5"]
