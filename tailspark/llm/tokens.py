@@ -57,34 +57,39 @@ class WordCoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    @staticmethod
+    def _cut(word: str) -> list[str]:
+        """Parts of a word that the tokenizer never joins. An apostrophe may open a contraction."""
+        if word.isascii():
+            return [word] if "'" in word else _RUNS.findall(word.lower())
+        core = word.rstrip(".,;:!?")
+        return [core, word[len(core) :]] if len(core) < len(word) and core.isalpha() else [word]
+
     def _learn(self, words: list[str]) -> None:
         if len(self.pieces) > KNOWN_WORDS:
             self.pieces.clear()
-        cut = {}
-        for w in words:
-            if w.isascii():
-                # an apostrophe may open a contraction, so such words stay whole
-                cut[w] = [w] if "'" in w else _RUNS.findall(w.lower())
-            else:
-                cut[w] = [w]
-        new = {p for parts in cut.values() for p in parts if p not in self.pieces}
+        pieces = self.pieces
+        cut = [self._cut(w) for w in words]
+        new = {p for parts in cut for p in parts}.difference(pieces)
         plain = [p for p in new if p.isalpha() and p.lower().isalpha()]
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
             ids = self.whole(" ".join(part))
-            at = np.flatnonzero(self.ends[ids]) + 1
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(at) == len(part):
-                self.pieces.update(zip(part, np.split(ids, at[:-1])))
-            else:
-                self.pieces.update((p, self.whole(p)) for p in part)
-        for p in new:
-            if p not in self.pieces:
-                self.pieces[p] = self.whole(p)
+                pieces.update((p, ids[x:y]) for p, x, y in zip(part, [0, *at], at))
+        for p in new.difference(pieces):
+            pieces[p] = self.whole(p)
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-        ids = [self.pieces[p] for w in words for p in cut[w]]
-        sizes = [sum(len(self.pieces[p]) for p in cut[w]) for w in words]
+        ids, stops, total = [], [], int(self.stop[-1])
+        for parts in cut:
+            for p in parts:
+                x = pieces[p]
+                ids.append(x)
+                total += len(x)
+            stops.append(total)
         self.flat = np.concatenate([self.flat, *ids])
-        self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum(sizes)])
+        self.stop = np.concatenate([self.stop, np.array(stops, np.int64)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and how many each text has."""
@@ -94,10 +99,13 @@ class WordCoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.words) > KNOWN_WORDS:
             self._forget()
-        missing = [w for w in distinct if w not in self.words]
-        if missing:
-            self._learn(missing)
-        number = np.fromiter((self.words[w] for w in distinct), np.int64, len(distinct))
+        get = self.words.get
+        number = np.array([get(w, -1) for w in distinct], np.int64)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            first = len(self.words)
+            self._learn([distinct[i] for i in missing])
+            number[missing] = np.arange(first, first + len(missing))
         at = number[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
         starts, of_word = self.stop[at], self.stop[at + 1] - self.stop[at]
         total = ends(of_word)
