@@ -120,7 +120,7 @@ def _packed(path: str, window: int, end_id: int, block_tokens: int):
         base = TaskContext.get().partitionId() << 36
         made, held, docs, sizes, tokens = 0, [], [], [], 0
         for batch in batches:
-            for part in chunks(batch, size=12_000_000):
+            for part in chunks(batch, size=8_000_000):
                 ids, counts = coder.encode(part.column("text"))
                 closed = np.insert(ids, np.cumsum(counts), end_id)
                 held.append(closed)

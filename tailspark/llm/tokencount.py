@@ -24,7 +24,7 @@ from tailspark.llm.common import chunks, ends, split_words, text_column
 from tailspark.llm.tokens import model_path
 
 LIMIT = 2048
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _LOADED: dict[str, "RankMerger"] = {}
 
@@ -166,7 +166,7 @@ def _counted(path: str, limit: int):
     def run(batches):
         merger = RankMerger.load(path)
         for batch in batches:
-            for part in chunks(batch, size=12_000_000):
+            for part in chunks(batch, size=8_000_000):
                 texts = part.column("text")
                 n = merger.count(texts)
                 yield pa.RecordBatch.from_arrays(

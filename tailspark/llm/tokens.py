@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from tailspark.llm.common import ends, split_words
 
 MODEL = "word_bpe_49k.json"
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 _LOADED: dict[str, "WordCoder"] = {}
 _RUNS = re.compile("[a-z]+|[^a-z]+")
 
@@ -40,7 +40,7 @@ class WordCoder:
         self.ends = np.zeros(self.size, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as 32-bit numbers
         self._forget()
 
     def _forget(self) -> None:
@@ -75,21 +75,22 @@ class WordCoder:
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
             ids = self.whole(" ".join(part))
-            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(at) == len(part):
-                pieces.update((p, ids[x:y]) for p, x, y in zip(part, [0, *at], at))
+                raw = ids.tobytes()
+                pieces.update((p, raw[x:y]) for p, x, y in zip(part, [0, *at], at))
         for p in new.difference(pieces):
-            pieces[p] = self.whole(p)
+            pieces[p] = self.whole(p).tobytes()
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-        ids, stops, total = [], [], int(self.stop[-1])
+        ids, stops, total = [], [], 4 * int(self.stop[-1])
         for parts in cut:
             for p in parts:
                 x = pieces[p]
                 ids.append(x)
                 total += len(x)
             stops.append(total)
-        self.flat = np.concatenate([self.flat, *ids])
-        self.stop = np.concatenate([self.stop, np.array(stops, np.int64)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        self.stop = np.concatenate([self.stop, np.array(stops, np.int64) // 4])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and how many each text has."""
