@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tailspark.staging import stage
 
 __all__ = [
-    "bounds_of", "buckets_for", "chunks", "documents", "ends", "fold", "fresh", "mix", "split_words", "stage", "tagged",
+    "bounds_of", "buckets_for", "chunks", "documents", "ends", "fold", "fresh", "kept_between_tasks", "let_go", "mix", "split_words", "stage", "tagged",
     "text_column", "word_hashes", "with_bucket",
 ]
 
@@ -72,6 +74,27 @@ def with_bucket(df: DataFrame, column: str, bounds: list[float], name: str = "_b
     return ranged.withColumn(name, number).drop("_value", "_range")
 
 
+# --- what a worker keeps between tasks ---------------------------------------------
+
+_KEPT: list[dict] = []
+
+
+def kept_between_tasks() -> dict:
+    """A table that the tasks of one worker share."""
+    table: dict = {}
+    _KEPT.append(table)
+    return table
+
+
+def let_go() -> None:
+    """Called by a task that needs none of the tables: a worker does not hold them through other stages."""
+    if any(_KEPT):
+        for table in _KEPT:
+            table.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 # --- batches of texts --------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailspark.llm.common import (
-    chunks, ends, fold, split_words, stage, text_column, word_hashes,
+    chunks, ends, fold, let_go, split_words, stage, text_column, word_hashes,
 )
 from tailspark.llm.components import components
 
@@ -80,6 +80,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _signed(words: int, bands: int, rows: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part.column("text"), words)
@@ -109,6 +110,7 @@ def _signed(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for part in chunks(batch):
                 yield pa.RecordBatch.from_arrays(

@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import chunks, ends, split_words, text_column
+from tailspark.llm.common import chunks, ends, kept_between_tasks, split_words, text_column
 from tailspark.llm.tokens import model_path
 
 LIMIT = 2048
 KNOWN_WORDS = 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_LOADED: dict[str, "RankMerger"] = {}
+_LOADED: dict[str, "RankMerger"] = kept_between_tasks()
 
 
 def _byte_symbols() -> list[str]:

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tailspark.llm.common import ends, split_words
+from tailspark.llm.common import ends, kept_between_tasks, split_words
 
 MODEL = "word_bpe_49k.json"
 KNOWN_WORDS = 400_000
-_LOADED: dict[str, "WordCoder"] = {}
+_LOADED: dict[str, "WordCoder"] = kept_between_tasks()
 _RUNS = re.compile("[a-z]+|[^a-z]+")
 
 
