@@ -145,7 +145,7 @@ def _written(folder: str, tokenizer: str, length: int, end_id: int):
                 out.append((bucket, f"{folder}/tokens-{bucket + 1:06d}", *writer.close()))
 
         for batch in batches:
-            for part in chunks(batch, size=8_000_000):
+            for part in chunks(batch, size=16_000_000):
                 ids, sizes = coder.encode(part.column("text"))
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
                 at = np.concatenate([[0], np.cumsum(sizes)])
