@@ -1,11 +1,11 @@
 """Licence scan by a positional rare-token index.
 
 The templates' words are indexed with their positions. Spark counts in how many documents each
-licence word occurs; of each template the words with the highest inverse document frequency are
-its anchors. Where an anchor occurs in a file, its position less its offset in the template is a
-candidate start. A phrase starts there if all its words stand at their relative positions. A longer
-template needs `VOTES` anchors that agree on the start, and then its mandatory key phrases, word
-for word; its score is the share of its words in place.
+licence word occurs; a template's anchor is the word of its mandatory key phrases with the highest
+inverse document frequency. Every place of an anchor in a file, less its offset in the template, is
+a candidate start, and it counts if all key phrases stand at their relative positions, word for
+word. As the anchor itself is mandatory, no place is lost. The score is the share of the template's
+words in place; a file may begin or end within a template.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tailspark.llm.common import chunks, ends, split_words, text_column
 
-ANCHORS, VOTES = 8, 2
-
 # The phrases that the contract names.
 PHRASES = (
     ("mit", "under the mit license"),
@@ -61,6 +59,7 @@ TEMPLATES = (
         "license as published by the free software foundation either version",
         ("under the terms of the gnu general public license",),
     ),
+    ("gpl", "under the gnu general public license", ("under the gnu general public license",)),
     (
         "mpl-2",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -143,25 +142,33 @@ def _frequencies(vocabulary: list[str]):
     return run
 
 
-def find(numbers: np.ndarray, counts: np.ndarray, template: Template, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat starts of the template's places and their scores."""
+def find(
+    numbers: np.ndarray, counts: np.ndarray, template: Template, frequency: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of the template's places, their starts within the text and their scores.
+
+    A start below 0 is that of a template whose first words the text leaves out.
+    """
     words = np.array(template.words)
     at = ends(counts)
-    order = np.lexsort((np.arange(len(words)), frequency[words]))
-    wanted = order[:1] if template.base or len(words) < ANCHORS else order[:ANCHORS]
-    starts = [np.flatnonzero(numbers == words[j]) - j for j in wanted]
-    found, votes = np.unique(np.concatenate(starts), return_counts=True)
-    found = found[votes >= min(VOTES, len(wanted))]
-    found = found[(found >= 0) & (found < len(numbers))]
-    stop = at[np.searchsorted(at, found, "right")]  # end of the text that the start lies in
-    offsets = np.arange(len(words))
-    places = found[:, None] + offsets
-    inside = places < stop[:, None]
-    same = inside & (numbers[np.minimum(places, max(0, len(numbers) - 1))] == words)
-    keyed = np.ones(len(found), bool)
-    for a, b in template.keys:
-        keyed &= same[:, a:b].all(axis=1)
-    return found[keyed], same[keyed].mean(axis=1)
+    keyed = np.concatenate([np.arange(a, b) for a, b in template.keys])
+    anchor, *others = keyed[np.argsort(frequency[words[keyed]], kind="stable")]
+    places = np.flatnonzero(numbers == words[anchor])
+    doc = np.searchsorted(at, places, "right") - 1
+
+    def same(j: int) -> np.ndarray:
+        moved = places + (j - anchor)
+        found = (moved >= at[doc]) & (moved < at[doc + 1])
+        found[found] = numbers[moved[found]] == words[j]
+        return found
+
+    for j in others:
+        keep = same(j)
+        places, doc = places[keep], doc[keep]
+    score = np.zeros(len(places))
+    for j in range(len(words)):
+        score += same(j)
+    return doc, places - anchor - at[doc], score / len(words)
 
 
 def _scanned(vocabulary: list[str], templates: list[Template], frequency: np.ndarray):
@@ -170,14 +177,12 @@ def _scanned(vocabulary: list[str], templates: list[Template], frequency: np.nda
         for batch in batches:
             for part in chunks(batch):
                 numbers, counts = _numbered(part.column("text"), known)
-                at = ends(counts)
                 places: list[list[dict]] = [[] for _ in counts]
                 for t in templates:
-                    for start, score in zip(*find(numbers, counts, t, frequency)):
-                        doc = int(np.searchsorted(at, start, "right")) - 1
-                        places[doc].append(
-                            {"label": t.label, "start": int(start - at[doc]), "length": len(t.words), "base": t.base, "score": float(score)}
-                        )
+                    for doc, start, score in zip(*find(numbers, counts, t, frequency)):
+                        first = max(0, int(start))
+                        length = len(t.words) - (first - int(start))
+                        places[doc].append({"label": t.label, "start": first, "length": length, "base": t.base, "score": float(score)})
                 for p in places:
                     p.sort(key=lambda m: (m["start"], m["label"], not m["base"]))
                 yield pa.RecordBatch.from_arrays(

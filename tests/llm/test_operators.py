@@ -408,6 +408,24 @@ def test_licence_templates(spark):
     assert got[2] == ("", 0.0) and got[3] == ("proprietary", 1.0)
 
 
+def test_licence_key_phrases_are_enough(spark):
+    """Key phrases are found though no document holds the template's other words, also where a text begins or ends."""
+    texts = [t + " end" for _, _, keys in licences.TEMPLATES if len(keys) == 1 for t in keys]
+    texts += ["Under the terms of the GNU General Public License", "Work licensed under the GNU General Public License version 3"]
+    want = [label for label, _, keys in licences.TEMPLATES if len(keys) == 1] + ["gpl", "gpl"]
+    mit = dict((t[0], t[1]) for t in licences.TEMPLATES)["mit"].split(" without limitation ")[0]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, "x " + mit])]
+    got = {r["doc_id"]: r["matches"] for r in licences.scan(table(spark, rows)).collect()}
+    for i, label in enumerate([*want, "mit"]):
+        whole = [m for m in got[i] if not m["base"]]
+        assert [m["label"] for m in whole] == [label], texts[i : i + 1]
+        assert whole[0]["start"] == {len(texts) - 1: 2, len(texts): 1}.get(i, 0)
+        assert 0 < whole[0]["score"] <= 1
+    numbers, counts = np.array([0, 1, 0, 1, 0]), np.array([3, 2])  # a place never reaches into the next text
+    doc, start, score = licences.find(numbers, counts, licences.Template("t", (9, 0, 1), ((1, 3),), False), np.zeros(10))
+    assert (doc.tolist(), start.tolist()) == ([0], [-1]) and abs(score[0] - 2 / 3) < 1e-9
+
+
 # --- op8 ---------------------------------------------------------------------------
 
 
