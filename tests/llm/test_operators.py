@@ -364,6 +364,29 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert {r["doc_id"]: r[out]["kept"] for r in found.collect()} == {r[0]: r[0] < 100 for r in rows}
 
 
+def test_a_third_of_junk_does_not_open_the_band(spark):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz  "))
+    noise = ["".join(np.random.default_rng(i).choice(letters, 800)) for i in range(30)]
+    for junk in (noise, noise[:1] * 30):
+        rows = [(i, sentence(i, 150), "en", "s") for i in range(60)] + [(100 + i, t, "en", "s") for i, t in enumerate(junk)]
+        rows += [(200, noise[-1], "en", "s")]
+        found, out = perplexity.judged(table(spark, rows))
+        kept = {r["doc_id"]: r[out]["kept"] for r in found.collect()}
+        assert all(kept[i] for i in range(60)) and not kept[200]
+        assert junk[0] == junk[1] or not any(kept[100 + i] for i in range(30))
+
+
+def test_bands_of_mixed_and_hot_languages(spark):
+    stats = lambda v: (100, 0, 0, 0, 0, v)
+    kinds = [1.3 + i / 100 for i in range(60)]  # quartiles 0.3 apart
+    groups = {"mixed": kinds + [3.2] * 10, "two": [1.4] * 30 + [1.8] * 30 + [3.0] * 25, "low": [1.5 + i / 1000 for i in range(60)] + [0.2] * 30}
+    scored = spark.createDataFrame([(k, stats(v)) for k, vs in groups.items() for v in vs], f"lang string, q struct<{', '.join(f'{n}: bigint' for n in perplexity.STATS.names[:-1])}, log_perplexity: double>")
+    band = {r[0]: (r[1], r[2]) for r in perplexity.bands(scored, "lang", "q").collect()}
+    assert band["mixed"][0] < 1.3 and 1.9 < band["mixed"][1] < 3.2
+    assert band["two"][0] < 1.4 and 1.8 < band["two"][1] < 3.0
+    assert 0.2 < band["low"][0] < 1.5
+
+
 def test_language_groups_change_nothing(spark):
     rows = [(i, sentence(i, 60), f"l{i % 3}", "s") for i in range(12)] + [(20, "", "l9", "s")]
     docs = table(spark, rows)
