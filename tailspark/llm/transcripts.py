@@ -71,7 +71,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Logarithms of the transition table (STATES x STATES) and the emission table (STATES x symbols).
 
     All counts are over all rows with a known role; one is added to each. Rows of one
-    conversation follow each other where their turns do.
+    conversation follow each other where their turns do. Where a turn has several rows, each counts
+    as one move, shared out over the rows of the next turn.
     """
     role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("given_role")).cast("int") - 1
     known = rows.select("conv", "turn", role.alias("role"), "symbols").filter("role >= 0 and turn is not null")
@@ -85,9 +86,13 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         emission[r["state"], r["feature"]] += r["count"]
     n = F.size("symbols")
     inner = known.groupBy("role").agg(F.sum(F.when(n > 1, 1).otherwise(0)).alias("on"), F.sum(F.greatest(n - 2, F.lit(0))).alias("more"))
-    begin = known.select("conv", "turn", (2 * F.col("role") + F.when(n > 1, 1).otherwise(0)).alias("last"))
-    after = known.select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    moves = begin.join(after, ["conv", "turn"]).groupBy("last", "next").count()
+    # counted before they meet: a turn joins at most 6 rows with 3, however often its rows repeat
+    begin = known.groupBy("conv", "turn", (2 * F.col("role") + F.when(n > 1, 1).otherwise(0)).alias("last")).agg(F.count("*").alias("n"))
+    after = known.groupBy("conv", (F.col("turn") - 1).alias("turn")).agg(
+        F.count("*").alias("all"), *[F.count(F.when(F.col("role") == r, 1)).alias(f"n{r}") for r in range(len(ROLES))]
+    )
+    shared = [F.sum(F.col("n") * F.col(f"n{r}") / F.col("all")).alias(f"n{r}") for r in range(len(ROLES))]
+    moves = begin.join(after, ["conv", "turn"]).groupBy("last").agg(*shared)
     first = known.groupBy("conv").agg(F.min_by("role", "turn").alias("next")).groupBy("next").count()
     allowed = np.zeros((STATES, STATES), bool)
     allowed[:, 0:START:2] = True
@@ -98,7 +103,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         move[2 * r["role"], 2 * r["role"] + 1] += r["on"]
         move[2 * r["role"] + 1, 2 * r["role"] + 1] += r["more"]
     for r in moves.collect():
-        move[r["last"], 2 * r["next"]] += r["count"]
+        for k in range(len(ROLES)):
+            move[r["last"], 2 * k] += r[f"n{k}"]
     for r in first.collect():
         move[START, 2 * r["next"]] += r["count"]
     with np.errstate(divide="ignore"):

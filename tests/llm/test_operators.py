@@ -626,3 +626,19 @@ def test_words_are_split_at_ascii_space_only():
     texts = ["a b c\td\x0b\x0ce\r\n", "", None, "  ", "x\x1cy"]
     words, counts = split_words(pa.array(["drop", *texts]).slice(1))
     assert words.to_pylist() == [w for t in texts for w in WORDS.findall(t or "")] and counts.tolist() == [4, 0, 0, 0, 1]
+
+
+def test_repeated_turns_count_once_each(spark):
+    """30,000 rows of one turn and as many of the next are 30,000 moves, not 900 million."""
+    import pyspark.sql.functions as F
+
+    n = 30_000
+    twice = spark.range(2 * n).select(
+        F.lit(1).cast("long").alias("conv_id"), (F.col("id") % 2).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words").alias("text"),
+    )
+    few = spark.createDataFrame([(2, t, r, "some words") for t, r in ((0, "user"), (1, "user"))], twice.schema)
+    transition, _ = transcripts.train(transcripts.rows_of(twice.union(few)))
+    # after a user's first line: 1 for each of 3 roles' turns and for going on, and n + 1 moves
+    share = np.exp(transition[2])
+    assert share[4] == pytest.approx((n + 1) / (n + 5)) and share[2] == pytest.approx(2 / (n + 5))
