@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailspark.llm import arrowfiles, licences, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount, transcripts
+from tailspark.llm import (
+    arrowfiles, decontamination, hardnegatives, interactions, licences, linedup, minhash, mixing, packing, perplexity, syncmers,
+    tokencount, transcripts,
+)
 from tailspark.llm.common import documents
 from tailspark.staging import staging_path
 
@@ -79,3 +82,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_hmm_transcripts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.parse(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@register("op11_ngram_decontamination", decontamination.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@register("op12_contingency_contractions", interactions.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@register("op13_str_rtree_negatives", hardnegatives.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(hardnegatives.quantised(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
