@@ -63,7 +63,8 @@ class WordCoder:
         if word.isascii():
             return [word] if "'" in word else _RUNS.findall(word.lower())
         core = word.rstrip(".,;:!?")
-        return [core, word[len(core) :]] if len(core) < len(word) and core.isalpha() else [word]
+        # a letter whose lower case holds a combining mark, such as U+0130, may join what follows
+        return [core, word[len(core) :]] if len(core) < len(word) and core.isalpha() and core.lower().isalpha() else [word]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.pieces) > KNOWN_WORDS:
