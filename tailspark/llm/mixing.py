@@ -15,10 +15,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import fresh, stage, text_column
+from tailspark.llm.common import bounds_of, fresh, stage, text_column, with_bucket
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
-SLICE_ROWS = 20_000
+SLICE_ROWS, MOST_SLICES = 20_000, 10_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -110,11 +110,10 @@ def copies_of(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     open_ = F.col("p") > 0
     drawn = stage(drawn.withColumn("rank", F.when(open_ & (F.col("size") > 0), odds)), "drawn")
 
-    # The ranks of a source are summed slice by slice; x / (1 + x) spreads them over (0, 1).
-    n = drawn.count()
-    slices = max(1, math.ceil(n / SLICE_ROWS))
-    cut = F.floor(F.col("rank") / (1.0 + F.col("rank")) * slices).cast("int")
-    asked = drawn.filter("rank is not null").withColumn("slice", cut)
+    # The ranks of a source are summed slice by slice; slices are cut by quantiles of the rank.
+    open_rows = drawn.filter("rank is not null")
+    slices = min(MOST_SLICES, max(1, math.ceil(open_rows.count() / SLICE_ROWS)))
+    asked = with_bucket(open_rows, "rank", bounds_of(open_rows, "rank", slices), "slice")
     per_slice = asked.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = per_slice.select(
@@ -136,18 +135,53 @@ def copies_of(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     )
 
 
+def _numbered(rows: DataFrame, group: list[str], name: str) -> DataFrame:
+    """`rows`, written, with their number from 1 within their group, in any fixed order.
+
+    A group may hold most rows: it is numbered file by file, and a file's numbers go on from those of the files before.
+    """
+    held = stage(rows, "repeats")
+    file, row, before, file_ = fresh(rows, "file", "row", "before", "of_file")
+    placed = held.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    earlier = Window.partitionBy(*group).orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    per_file = placed.groupBy(*group, file).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*group, file).orderBy(row))
+    keys = fresh(placed, *[f"key{i}" for i in range(len(group))])
+    per_file = per_file.toDF(*keys, file_, before)
+    same = F.col(file) == F.col(file_)
+    for g, k in zip(group, keys):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    return placed.withColumn(name, own).join(per_file, same).withColumn(name, F.col(name) + F.col(before)).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them; all columns stay."""
-    doc, version, times, each = fresh(docs, "doc", "version", "times", "each")
-    taken = copies_of(docs, weights, share, most, seed).filter("taken_copies > 0")
-    # equal rows and rows that share a doc_id and text take the mean of their copies, rounded up
-    per = taken.groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.max("taken_copies").alias(times))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(version))
-    return (
-        docs.join(per, same)
-        .withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` as often as the mix takes them; all columns stay.
+
+    Rows that share doc_id, text and source are taken alike as far as their number of copies divides; the first of them
+    (in any fixed order) get one more, so a source's words are those of `copies_of`.
+    """
+    doc, version, source, times, extra, number, each = fresh(docs, "doc", "version", "source", "times", "extra", "number", "each")
+    groups = stage(
+        copies_of(docs, weights, share, most, seed).groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("source").alias(source))
+        .agg(F.floor(F.sum("taken_copies") / F.count("*")).cast("int").alias(times), (F.sum("taken_copies") % F.count("*")).alias(extra)),
+        "copies",
     )
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_column()) == F.col(version))
+        & F.col("source").cast("string").eqNullSafe(F.col(source))
+    )
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        again = rows.filter(F.col(times) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times))))
+        return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    even = repeated(docs.join(groups.filter(F.col(extra) == 0), same))
+    uneven = groups.filter(F.col(extra) > 0)  # only groups of several rows that the end of a source's room divides
+    if uneven.isEmpty():
+        return even
+    numbered = _numbered(docs.join(uneven, same), [doc, version, source], number)
+    more = (F.col(number) <= F.col(extra)).cast("int")
+    return even.unionByName(repeated(numbered.withColumn(times, F.col(times) + more)))
 
 
 SQL = f"""
