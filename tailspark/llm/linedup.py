@@ -23,6 +23,7 @@ from tailspark.llm.common import fresh, stage, text_column
 
 MIN_WORDS, EDIT_WORDS = 5, 10
 BLOCK = 64
+FILTER_BITS = 2**25
 SPACE = "[ \\t\\x0B\\f\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,11 +99,22 @@ def _place() -> Column:
     return F.struct("doc", "pos")
 
 
+def _holding(texts: DataFrame, at: DataFrame) -> DataFrame:
+    """The rows of `texts` whose version may occur in `at`: a bit set of FILTER_BITS by version, whatever the size of both."""
+    per_bucket = 32_768  # the size of Spark's bitmaps
+    bucket = F.pmod(F.shiftright("version", 15), F.lit(FILTER_BITS // per_bucket))
+    bit = F.pmod("version", F.lit(per_bucket)).cast("int")
+    bits = at.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return texts.join(F.broadcast(bits), bucket == F.col("_bucket")).filter(F.getbit(byte, bit % 8) == 1).drop("_bucket", "_bits")
+
+
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """(doc, version, pos) of each line that repeats an earlier one.
 
-    Earlier goes by doc_id, then line number; rows without doc_id come last and all stand at one
-    place, as do rows that share a doc_id: none of these is earlier than another. Lines of `min_words` words
+    Earlier goes by doc_id, then line number, whatever the row; rows without doc_id come last, as if they
+    shared one. So lines with the same number in rows that share a doc_id stand at one place: equal ones are none
+    earlier than the other, of different ones the one with the smaller hash is. Lines of `min_words` words
     or more go if an earlier line has the same words; lines of `edit_words` or more also if an
     earlier line of `edit_words` or more is one word edit away. Earlier lines count whether or not
     they go themselves. Missing and empty texts have no line that counts.
@@ -111,11 +123,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
     lines = lines_of(docs).withColumn("doc", F.coalesce("doc", last))
     half = F.when(F.col("n") >= edit_words, _halves(F.col("n"), F.col("words")))
     keyed = stage(_keyed(lines, min_words).withColumn("halves", half).drop("words"), "keyed")
-    classes = stage(
-        keyed.groupBy("h1", "h2", "n", "halves")
-        .agg(F.min(_place()).alias("place"), F.count("*").alias("copies")),
-        "lines",
-    )
+    first = F.min(F.struct("doc", "pos", "version"))
+    classes = stage(keyed.groupBy("h1", "h2", "n", "halves").agg(first.alias("place"), F.count("*").alias("copies")), "lines")
     # lines that share a half with a different line
     in_halves = classes.filter("halves is not null").select("h1", F.posexplode("halves").alias("part", "key"))
     shared = in_halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b")
@@ -124,11 +133,13 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
         .groupBy("h1")
         .agg(F.max(F.col("part") % 2 == 0).alias("first"), F.max(F.col("part") % 2 == 1).alias("last"))
     )
-    found = classes.filter("halves is not null").join(survivors, "h1").select("h1", "h2", "n", "place", "first", "last")
-    at = found.select(F.col("place.doc").alias("doc"), F.col("place.pos").alias("pos"), "h1", "h2", "n", "first", "last")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), text_column().alias("text"))
+    at = stage(
+        classes.filter("halves is not null").join(survivors, "h1").select("place.*", "h1", "h2", "n", "first", "last"), "places"
+    )
+    text = text_column()
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     lined = stage(
-        texts.join(at, "doc")
+        _holding(texts, at).join(at, ["doc", "version"])
         .select("doc", "pos", "h1", "h2", "n", "first", "last", _words(F.get(F.split("text", "\n"), F.col("pos"))).alias("words"))
         .filter((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit(1), "words") == F.col("h2")))
         .dropDuplicates(["h1", "h2"]),
@@ -157,26 +168,28 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
     variants = lined.select("doc", "pos", "h1", F.explode(_let(both, keys)).alias("v")).select(
         "doc", "pos", "h1", "v.key", "v.gap"
     )
-    gapped, full = F.when(F.col("gap"), _place()), F.when(~F.col("gap"), _place())
+    place = F.struct("doc", "pos", "h1")
+    gapped, full = F.when(F.col("gap"), place), F.when(~F.col("gap"), place)
+    # a line has a key at most once with a gap and once without
     firsts = (
         variants.groupBy("key")
-        .agg(F.min(gapped).alias("gapped"), F.min(full).alias("full"), F.max(gapped).alias("last_gapped"))
-        .filter("gapped != last_gapped or full is not null and gapped is not null")
-        .drop("last_gapped")
+        .agg(F.min(gapped).alias("gapped"), F.min(full).alias("full"), F.count(F.when(F.col("gap"), 1)).alias("gaps"))
+        .filter("gaps > 1 or full is not null and gapped is not null")
+        .drop("gaps")
     )
     # the earliest line that each survivor meets: any in its gap's group, or across gapped and full
     meets = F.when(F.col("gap"), F.least("gapped", "full")).otherwise(F.col("gapped"))
     pairs = (
         variants.join(firsts, "key")
-        .select("h1", _place().alias("place"), meets.alias("other"))
+        .select(place.alias("place"), meets.alias("other"))
         .filter("other < place")
-        .groupBy("h1", "place").agg(F.min("other").alias("other"))
+        .groupBy("place").agg(F.min("other").alias("other"))
     )
     # verify on the words: one edit at most
-    words = lined.select(F.struct("doc", "pos").alias("other"), F.col("words").alias("other_words"))
-    own = lined.select("h1", F.struct("doc", "pos").alias("place"), "h2", "words")
+    words = lined.select(place.alias("other"), F.col("words").alias("other_words"))
+    own = lined.select("h1", place.alias("place"), "h2", "words")
     near = stage(
-        pairs.join(own, ["h1", "place"]).join(words, "other").filter(within_one("words", "other_words"))
+        pairs.join(own, "place").join(words, "other").filter(within_one("words", "other_words"))
         .select("h1", "h2").distinct(),
         "near",
     )
@@ -184,7 +197,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
     return (
         keyed.select("doc", "version", "pos", "h1", "h2")
         .join(verdict.select("h1", "h2", "place", "near"), ["h1", "h2"])
-        .filter(F.col("near") | (F.col("place") < _place()))
+        .filter(F.col("near") | (F.struct("place.doc", "place.pos") < _place()))
         .select("doc", "version", "pos")
     )
 

@@ -8,11 +8,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tailspark.llm import (
     arrowfiles, licences, linedup, minhash, mixing, packing, perplexity, syncmers, tokencount, tokens, transcripts,
 )
-from tailspark.llm.common import split_words
+from tailspark.llm.common import bounds_of, split_words, with_bucket
 
 WORDS = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, kept string, key string, block string"
@@ -201,6 +202,20 @@ def test_both_coders_equal_the_library(library):
     assert tokencount.RankMerger.load(tokens.model_path()).count(pa.array(texts)).tolist() == list(map(len, want))
 
 
+@pytest.mark.parametrize("warm", [False, True])
+def test_ids_where_lower_case_is_longer(library, warm):
+    longer = [chr(i) for i in range(0x250, 0x1F000) if len(chr(i).lower()) > 1] + ["İ"]
+    rng = np.random.default_rng(8)
+    letters = [*longer, *longer, *"aZéÉßIı", "\u0307", "\u0301", "ﬁ", "ǅ", "Σ"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 5))) + str(rng.choice(["", ".", ",", "?!", "...", "'s", "-", ";:"])) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(20_000)] + ["ALİ, geldi.", "BİRİNCİ. bölüm", "İstanbul, Ankara"]
+    coder = tokens.WordCoder(tokens.model_path())
+    for part in [texts, texts] if warm else [texts]:
+        ids, sizes = coder.encode(pa.array(part))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_arrow_files(spark, odd, empty, library, tmp_path):
     manifest = arrowfiles.write_sequences(odd, str(tmp_path / "seq"), length=64)
     rows = {}
@@ -241,7 +256,7 @@ def brute_lines(rows):
                 lines.append((doc, pos, words))
     gone = set()
     for (d, p, w), (e, q, v) in itertools.product(lines, lines):
-        earlier = (e is None, e or 0, q) < (d is None, d or 0, p) and not (e == d is None) and (e is not None)
+        earlier = (e is None, e or 0, q) < (d is None, d or 0, p)
         if earlier and (w == v or min(len(w), len(v)) >= linedup.EDIT_WORDS and one_edit(w, v)):
             gone.add((d, p))
     return gone
@@ -268,6 +283,31 @@ def test_lines_near_each_other(spark):
     assert got == brute_lines([(r[0], r[1]) for r in rows]) and len(got) > 10
 
 
+def test_lines_of_rows_without_id_or_with_one(spark):
+    one, two = sentence(60, 14), sentence(61, 14)
+    near = one.split()
+    near[5] = "other"
+    rows = [(None, one + "\n" + sentence(62, 8)), (None, sentence(63, 8) + "\n" + " ".join(near)), (None, two), (None, two)]
+    rows += [(5, two + "\n" + sentence(64, 9)), (5, sentence(65, 9) + "\n" + two)]
+    report = linedup.line_report(table(spark, [(i, t, "en", "s") for i, t in rows]))
+    texts = {t: i for i, (_, t) in enumerate(rows)}
+    got = sorted((r["doc_id"] is None, r["n_lines"], tuple(r["dropped"])) for r in report.collect())
+    assert len(texts) == 5
+    # of one's lines the later place goes, as does every copy of two after the first place of doc 5
+    assert got == [(False, 2, ()), (False, 2, (1,)), (True, 1, (0,)), (True, 1, (0,)), (True, 2, ()), (True, 2, (1,))]
+    many = [(None if i % 3 else i, sentence(i % 90, 12) + f" {i}\n" + sentence(i % 40, 20), "en", "s") for i in range(600)]
+    left = linedup.deduplicate_lines(table(spark, many))
+    lines = [x for r in left.collect() for x in r["text"].split("\n")]
+    assert len({x for x in lines if not x[-1].isdigit()}) == 40 and len(lines) < 150
+
+
+def test_the_bit_set_keeps_every_version(spark):
+    texts = spark.range(5000).selectExpr("id as doc", "xxhash64(id) as version")
+    at = texts.filter("doc % 50 = 0").select("version")
+    kept = {r["doc"] for r in linedup._holding(texts, at).collect()}
+    assert kept >= set(range(0, 5000, 50)) and len(kept) < 200
+
+
 def test_lines_rebuild(odd):
     out = linedup.deduplicate_lines(odd)
     assert out.columns == odd.columns
@@ -568,6 +608,29 @@ def test_mix_of_repeated_rows(spark):
     assert len(got) == 8 and sum(r["size"] * r["taken_copies"] for r in got) <= 36
 
 
+def test_mix_takes_what_copies_of_takes(spark):
+    same, again = sentence(1, 14), sentence(2, 9)
+    rows = [(7, same, "en", "s")] * 300 + [(i + 10, sentence(i, 6), "en", "s") for i in range(400)] + [(None, again, "en", "s")] * 50 + [(7, same, "en", "t")] * 40
+    docs = table(spark, rows)
+    for share in (0.35, 0.8, 1.1, 1.5):
+        taken = {}
+        for r in mixing.copies_of(docs, share=share).collect():
+            taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["taken_copies"]
+        mixed = {}
+        for r in mixing.mix(docs, share=share).collect():
+            mixed[r["source"]] = mixed.get(r["source"], 0) + len(r["text"].split())
+        assert mixed == {s: n for s, n in taken.items() if n}
+
+
+def test_slices_of_the_rank_are_even(spark, monkeypatch):
+    """Odds bunch near 0 where most documents are taken; slices hold about the same number all the same."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    ranks = spark.range(4000).select(((mixing.uniform("s", F.col("id").cast("string")) / (1 - mixing.uniform("s", F.col("id").cast("string")))) / 999).alias("rank"))
+    bounds = bounds_of(ranks, "rank", 40)
+    counts = [r["count"] for r in with_bucket(ranks, "rank", bounds).groupBy("_bucket").count().collect()]
+    assert len(counts) == 40 and max(counts) < 200
+
+
 # --- op10 --------------------------------------------------------------------------
 
 CHAT = "conv_id long, turn long, role string, text string, block string, entry int"
