@@ -24,13 +24,17 @@ from tailspark.llm.common import fresh, stage, text_column
 MIN_WORDS, EDIT_WORDS = 5, 10
 BLOCK = 64
 FILTER_BITS = 2**25
-SPACE = "[ \\t\\x0B\\f\\r]+"
+OTHER_SPACE = "\t\x0B\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(line: Column) -> Column:
-    """Lower-cased (A-Z) words between ASCII white space."""
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), SPACE), lambda w: w != "")
+    """Lower-cased (A-Z) words between ASCII white space. Most lines need no look at each character."""
+    plain = F.octet_length(line) == F.length(line)
+    for space in OTHER_SPACE:
+        plain = plain & ~F.contains(line, F.lit(space))
+    clean = F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER + OTHER_SPACE, LOWER + " " * len(OTHER_SPACE)))
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -69,7 +73,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
         .select("doc", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc", "version", "pos", _words(F.col("line")).alias("words"))
+        # out of an array of one, so that filters on the words do not cut the line a second time
+        .select("doc", "version", "pos", F.explode(F.array(_words(F.col("line")))).alias("words"))
     )
 
 
@@ -165,8 +170,8 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, edit_words: int =
     both = F.struct(
         _prefixes(F.col("words")).alias("p"), _let(F.reverse("words"), _prefixes).alias("q")
     )
-    variants = lined.select("doc", "pos", "h1", F.explode(_let(both, keys)).alias("v")).select(
-        "doc", "pos", "h1", "v.key", "v.gap"
+    variants = stage(
+        lined.select("doc", "pos", "h1", F.explode(_let(both, keys)).alias("v")).select("doc", "pos", "h1", "v.key", "v.gap"), "variants"
     )
     place = F.struct("doc", "pos", "h1")
     gapped, full = F.when(F.col("gap"), place), F.when(~F.col("gap"), place)
