@@ -56,28 +56,23 @@ def duvol_parts(returns: Column, prefix: str, over: WindowSpec | None = None) ->
 
 
 def duvol_split(prefix: str) -> dict[str, Column]:
-    """Count and squares on each side of the mean: a select of its own, so each array is
-    walked once per figure and not once per mention in the formula."""
+    """The values below the mean, which the array is walked once for. Those at or above it follow from the
+    frame's count and squares (`skew_parts` of the same prefix)."""
     values, mean = F.col(f"{prefix}_values"), F.col(f"{prefix}_mean")
+    return {f"{prefix}_below": F.filter(values, lambda value: value < mean)}
 
-    def squares(keep) -> Column:
-        return F.aggregate(
-            values,
-            F.lit(0.0),
-            lambda total, value: total + F.when(keep(value), value * value).otherwise(0.0),
-        )
 
-    return {
-        f"{prefix}_n_down": F.size(F.filter(values, lambda value: value < mean)),
-        f"{prefix}_n_up": F.size(F.filter(values, lambda value: value >= mean)),
-        f"{prefix}_down": squares(lambda value: value < mean),
-        f"{prefix}_up": squares(lambda value: value >= mean),
-    }
+def duvol_sides(prefix: str) -> dict[str, Column]:
+    """Count and squares on each side of the mean, after `duvol_split`."""
+    below = F.col(f"{prefix}_below")
+    down = F.aggregate(below, F.lit(0.0), lambda total, value: total + value * value)
+    return {f"{prefix}_n_down": F.size(below), f"{prefix}_down": down}
 
 
 def duvol_from(prefix: str, min_periods: int = 4) -> Column:
     """Down-to-up volatility, split at the mean of the same returns."""
-    n_down, n_up, down, up = (F.col(f"{prefix}_{part}") for part in ("n_down", "n_up", "down", "up"))
+    n, squares, n_down, down = (F.col(f"{prefix}_{part}") for part in ("n", "s2", "n_down", "down"))
+    n_up, up = n - n_down, squares - down
     return F.when(
         (n_down + n_up >= max(4, min_periods)) & (n_down > 1) & (n_up > 1) & (down > 0) & (up > 0),
         F.ln(((n_up - 1) * down) / ((n_down - 1) * up)),

@@ -130,10 +130,10 @@ def with_rolling_features(base: DataFrame, settings: Settings, with_targets: boo
     if with_targets:
         made["future_ncskew"] = stats.ncskew_from("_a")
         made["future_duvol"] = stats.duvol_from("_a")
-    split = stats.duvol_split("_f")
-    if with_targets:
-        split |= stats.duvol_split("_a")
-    rolled = base.select("*", *parts).withColumns(split)
+    frames = ("_f", "_a") if with_targets else ("_f",)
+    rolled = base.select("*", *parts)
+    for step in (stats.duvol_split, stats.duvol_sides):
+        rolled = rolled.withColumns({name: made_ for frame in frames for name, made_ in step(frame).items()})
     return rolled.withColumns(made).drop(*[c for c in rolled.columns if c.startswith("_")])
 
 
@@ -169,7 +169,7 @@ def with_forward_metrics(
         "*",
         *stats.skew_parts(F.col(residual), "_a", ahead),
         *stats.duvol_parts(F.col(residual), "_a", ahead),
-    ).withColumns(stats.duvol_split("_a"))
+    ).withColumns(stats.duvol_split("_a")).withColumns(stats.duvol_sides("_a"))
     return parts.select(
         *panel.columns,
         stats.ncskew_from("_a").alias("future_ncskew"),

@@ -123,7 +123,7 @@ SKEWED = [-0.20, -0.08, 0.03, 0.04, 0.05]
 def test_crash_metrics_by_formula(spark):
     df = spark.createDataFrame([(v,) for v in SKEWED] + [(None,)], "r double")
     r = F.col("r")
-    one = df.agg(*stats.skew_parts(r, "a"), *stats.duvol_parts(r, "a")).withColumns(stats.duvol_split("a"))
+    one = df.agg(*stats.skew_parts(r, "a"), *stats.duvol_parts(r, "a")).withColumns(stats.duvol_split("a")).withColumns(stats.duvol_sides("a"))
     row = one.select(stats.ncskew_from("a").alias("n"), stats.duvol_from("a").alias("d")).first()
     assert close(row.n, ncskew(SKEWED)) and close(row.d, duvol(SKEWED))
 
