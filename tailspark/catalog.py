@@ -442,6 +442,24 @@ def asof_fundamentals(spark, folder):
     return rounded(known, PANEL_DOUBLES)
 
 
+@register(
+    "asof_one_hot_key",
+    """with days as (select cast(l_shipdate as date) as date, max(l_extendedprice) as top, count(*) as items from lineitem group by 1),
+    sold as (select o_orderkey, case when o_orderpriority = '1-URGENT' then 'urgent' else 'rest' end as kind, cast(o_orderdate as date) as date from orders),
+    known as (select kind, date, top, items from days, (select unnest(['rest', 'urgent']) as kind) where kind = 'rest' or items % 2 = 0)
+    select s.o_orderkey, s.kind, s.date, k.top, k.items from sold s asof left join known k on s.kind = k.kind and k.date <= s.date""",
+)
+def asof_one_hot_key(spark, folder):
+    """Every order with the newest day of shipments known by its date; four in five orders share one key."""
+    days = adapters.table(spark, folder, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("known")).agg(
+        F.max("l_extendedprice").alias("top"), F.count("*").alias("items")
+    )
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("rest")
+    sold = adapters.table(spark, folder, "orders").select("o_orderkey", kind.alias("kind"), F.col("o_orderdate").cast("date").alias("date"))
+    known = days.withColumn("kind", F.explode(F.array(F.lit("rest"), F.lit("urgent")))).where("kind = 'rest' or items % 2 = 0")
+    return asof_join(sold, known, "kind", "date", "known", ["top", "items"], any_size=True)
+
+
 @register(
     "asof_controversies",
     sql(
@@ -1579,11 +1597,11 @@ def prepared_statistics(spark, folder):
     ),
 )
 def exact_medians(spark, folder):
-    """The search by rounds of cell counts, forced by a small limit."""
+    """Brackets of a coarse sketch, counted exactly."""
     from tailspark.operators.selection import exact_medians as medians
 
     names = ("l_quantity", "l_extendedprice", "l_discount")
-    found = medians(adapters.table(spark, folder, "lineitem"), names, left=100, cells=16)
+    found = medians(adapters.table(spark, folder, "lineitem"), names, error=0.01)
     return rounded(spark.createDataFrame(list(found.items()), "name string, median double"))
 
 

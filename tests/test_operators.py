@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tailspark.functions import stats
 from tailspark.operators import asof, calendar, ranking, resample, selection
 from tailspark.plans import features
+from tailspark.staging import stage
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -117,6 +118,45 @@ def test_asof_equals_brute_force(spark, left, right):
         assert got[(t, day(n))] == (float(known[-1]) if known else None)
 
 
+@pytest.fixture(scope="module")
+def hot_sides(spark):
+    """Nine rows in ten have one key; some dates repeat; some rows lack the key or the date."""
+    rows = [("HOT" if i % 10 else f"K{i % 70}", day(i * 7 % 900), i) for i in range(3000)]
+    rows += [("HOT", day(5), 9000 + i) for i in range(500)] + [(None, day(3), -1), ("HOT", None, -2), ("NONE", day(3), -3)]
+    left = spark.createDataFrame(rows, "ticker string, date date, n long")
+    right = spark.createDataFrame(
+        [("HOT" if i % 3 else f"K{i % 70}", day(i * 11 % 950), float(i) if i % 4 else None, i) for i in range(400)]
+        + [(None, day(1), 1.0, 1), ("HOT", None, 1.0, 1)],
+        "ticker string, known date, v double, tag long",
+    )
+    other = spark.createDataFrame([("HOT", day(300), "x"), ("K0", day(10), "y")], "ticker string, known date, word string")
+    return left, [asof.AsofSide(right, "known", ("known", "v", "tag")), asof.AsofSide(other, "known", ("word",), resample.week_end)]
+
+
+def test_asof_by_ranges_equals_the_window(hot_sides):
+    left, sides = hot_sides
+    by_window = asof.asof_attach(left, sides, "ticker", "date")
+    by_ranges = asof.asof_attach_ranges(left, sides, "ticker", "date")
+    assert by_ranges.columns == by_window.columns
+    assert sorted(by_ranges.collect(), key=str) == sorted(by_window.collect(), key=str)
+    assert sorted(asof.asof_attach_ranges(left.limit(0), sides, "ticker", "date").collect()) == []
+    empty = [asof.AsofSide(s.table.limit(0), s.on, s.columns, s.snap) for s in sides]
+    assert asof.asof_attach_ranges(left, empty, "ticker", "date").where("tag is not null or word is not null").count() == 0
+
+
+def test_asof_ranges_split_a_hot_key(spark, hot_sides, monkeypatch):
+    left, sides = hot_sides
+    seen = []
+    monkeypatch.setattr(asof, "stage", lambda df, label: seen.append(stage(df, label)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        asof.asof_attach_ranges(left, sides, "ticker", "date").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = sorted(r["count"] for r in seen[0].groupBy("_range").count().collect())
+    assert len(sizes) >= 3 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 SKEWED = [-0.20, -0.08, 0.03, 0.04, 0.05]
 
 
@@ -234,8 +274,21 @@ def test_split_cuts(spark):
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)), min_size=1, max_size=80))
 def test_exact_medians(spark, values):
     df = spark.createDataFrame([(v, 1.0, None) for v in values], "a double, b double, c double")
-    for left in (3, 1000):
-        got = selection.exact_medians(df, ["a", "b", "c"], left=left, cells=4)
+    for error in (0.2, 0.02):
+        got = selection.exact_medians(df, ["a", "b", "c"], error)
         known = [v for v in values if v is not None]
         assert close(got["a"], float(np.median(known)) if known else None)
         assert got["b"] == 1.0 and got["c"] is None
+
+
+def test_medians_of_many_rows_and_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.range(20_000).select(
+        (F.col("id") * 7919 % 20_000).cast("double").alias("spread"), F.when(F.col("id") < 12_000, 3.0).otherwise(F.col("id") * 1.0).alias("tied"),
+        F.when(F.col("id") % 3 == 0, nan).otherwise(F.col("id") * 1.0).alias("holes"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zero"),
+        F.when(F.col("id") < 15_000, inf).otherwise(-inf).alias("far"), (F.col("id") % 2).cast("double").alias("halves"),
+    )
+    got = selection.exact_medians(df, df.columns)
+    holes = [float(i) for i in range(20_000) if i % 3]
+    assert got == {"spread": 9999.5, "tied": 3.0, "holes": float(np.median(holes)), "zero": 0.0, "far": inf, "halves": 0.5}
+    assert selection.exact_medians(df.limit(0), ["spread"]) == {"spread": None}
