@@ -266,47 +266,33 @@ def load_text(spark, folder):
 
 @register(
     "csv_round_trip",
-    sql(
-        "select ticker, count(*) as rows, count(volume) as volumes, sum(adj_close) as total from (" + LOADED_SQL["prices"] + ") as loaded group by ticker",
-        "prices",
-        rounded={"total": 3},
-    ),
+    sql(LOADED_SQL["prices"], "prices", rounded="adj_close volume"),
 )
 def csv_round_trip(spark, folder):
     """Write the raw prices as a CSV folder, read and clean them again."""
     path = staging_path(spark, "prices") + ".csv"
     sinks.write_csv(raw_prices(spark, folder), path)
-    loaded = loaders.load_prices(spark, path)
-    return rounded(
-        loaded.groupBy("ticker").agg(
-            F.count("*").alias("rows"), F.count("volume").alias("volumes"), F.sum("adj_close").alias("total")
-        ),
-        {"total": 3},
-    )
+    return rounded(loaders.load_prices(spark, path))
 
 
 @register(
     "parquet_by_year",
     sql(
-        "select year(date)::int as year, count(*) as rows, count(weekly_return) as returns from weekly where year(date) >= 1997 group by 1",
+        "select *, year(date)::int as year from weekly where year(date) >= 1997",
         "weekly",
+        rounded="adj_close weekly_volume weekly_return",
     ),
 )
 def parquet_by_year(spark, folder):
     """Year folders, then a scan that prunes to the years asked for."""
     path = staging_path(spark, "weekly") + ".parquet"
     sinks.write_parquet_by_year(resample.weekly_returns(adapters.prices(spark, folder)), path)
-    back = loaders.read_table(spark, path)
-    return (
-        back.where(F.col("year") >= 1997)
-        .groupBy("year")
-        .agg(F.count("*").alias("rows"), F.count("weekly_return").alias("returns"))
-    )
+    return rounded(loaders.read_table(spark, path).where(F.col("year") >= 1997))
 
 
 @register(
     "json_records",
-    sql("select ticker, count(*) as rows, count(weekly_return) as returns from weekly group by ticker", "weekly"),
+    sql("select * from weekly", "weekly", rounded="adj_close weekly_volume weekly_return"),
 )
 def json_records(spark, folder):
     """Infinities leave as null, and null keys are written out."""
@@ -315,8 +301,7 @@ def json_records(spark, folder):
     )
     path = staging_path(spark, "json")
     sinks.write_payload({"weekly": weekly}, path)
-    back = spark.read.schema("ticker string, weekly_return double").json(f"{path}/weekly")
-    return back.groupBy("ticker").agg(F.count("*").alias("rows"), F.count("weekly_return").alias("returns"))
+    return rounded(spark.read.schema(weekly.schema).json(f"{path}/weekly"))
 
 
 @register(
@@ -936,6 +921,10 @@ def quarter_excluded_with_return(spark, folder):
     return rounded(reports.excluded_with_return(excluded).drop("outcome"))
 
 
+# of a fund of a billion, to the thousand
+_DOLLARS = {"dollar_impact_quarter": -3, "dollar_impact_annualised": -3}
+
+
 @register(
     "quarter_summary",
     sql(
@@ -943,15 +932,16 @@ def quarter_excluded_with_return(spark, folder):
         (select concat('Q', quarter(max(date)), ' ', year(max(date))) from fwd) as quarter_label, count(*) as forward_weeks,
         round(arg_max(s, date) - 1, 4) as strategy_quarter_return, round(arg_max(b, date) - 1, 4) as benchmark_quarter_return,
         round((arg_max(s, date) - arg_max(b, date)) * 10000)::int as outperformance_bps,
+        round((arg_max(s, date) - arg_max(b, date)) * 1e9) as dollar_impact_quarter, round((arg_max(s, date) - arg_max(b, date)) * 4e9) as dollar_impact_annualised,
         (select count(*) from uni where high) as n_excluded, (select count(*) from uni where not high) as n_held,
         (select round(count(*) filter (round(q, 4) < 0) / nullif(count(q), 0), 4) from exc) as pct_excluded_correct from path""",
         "panel_dates",
+        rounded=_DOLLARS,
         extra=QUARTER_PARTS,
     ),
 )
 def quarter_summary(spark, folder):
-    summary = portfolio.quarter_backtest(scored_panel(spark, folder))["summary"]
-    return rounded(summary.drop("dollar_impact_quarter", "dollar_impact_annualised"))
+    return rounded(portfolio.quarter_backtest(scored_panel(spark, folder))["summary"], _DOLLARS)
 
 
 # --- text --------------------------------------------------------------------------
@@ -1143,6 +1133,20 @@ def _log_line(dataset_name: str, check: str, value: str, rows: str, source: str)
     )
 
 
+# what a check's line says, by the check's name
+_DETAIL_SQL = """case
+    when "check" = 'missing_required_values' then 'Blank cells in required columns before loading.'
+    when "check" = 'missing_required_rows' then 'Rows with at least one blank required cell before loading.'
+    when "check" = 'duplicate_rows' then 'Fully repeated raw rows.'
+    when "check" = 'rows_removed_or_invalid' then 'Rows the loader did not keep.'
+    when "check" = 'negative_controversy_score' then 'Rows with a score below zero.'
+    when "check" = 'duplicate_entity_date_rows' then concat('Repeated rows by ', case dataset when 'benchmark_prices' then 'date.' when 'fundamentals' then 'ticker, period_end.' else 'ticker, date.' end)
+    when starts_with("check", 'invalid_') then concat('Rows whose ', replace(substr("check", 9), '_values', ''), ' is not a date.')
+    when ends_with("check", '_numeric_coercion_failures') then concat('Filled ', replace("check", '_numeric_coercion_failures', ''), ' cells that are not numbers.')
+    when starts_with("check", 'retained_missing_') then concat('Missing ', substr("check", 18), ' kept for median imputation.')
+    when starts_with("check", 'zero_or_negative_') then concat('Rows with ', substr("check", 18), ' at or below zero.') end"""
+
+
 def _cleaning_sql() -> str:
     twice = "select p.* from prices p, (values (1), (2)) c(k) where c.k = 1 or day(p.date) = 28"
     bad, gone = "day(date) = 15 and ticker like '%3'", "count(*) filter (day(date) = 28) / 2"
@@ -1190,11 +1194,11 @@ def _cleaning_sql() -> str:
     add(c, "controversy_score_numeric_coercion_failures", "count(*) filter (month(date) = 1)", n, c)
     add(c, "negative_controversy_score", "0", n, c)
     body = " union all ".join(lines)
-    fixed = """ union all select 'fundamentals', 'availability_lag_days', '45', null, null
-        union all select 'feature_engineering', 'date_alignment_method', 'weekly Friday observations', null, null
-        union all select 'target_creation', 'future_window', 't+1 through t+13', null, null"""
+    fixed = """ union all select 'fundamentals', 'availability_lag_days', '45', null, null, 'Days after period_end until use.'
+        union all select 'feature_engineering', 'date_alignment_method', 'weekly Friday observations', null, null, 'Daily rows are cut to Fridays.'
+        union all select 'target_creation', 'future_window', 't+1 through t+13', null, null, 'Labels use later weeks only.'"""
     return sql(
-        'select dataset, "check", cast(v as varchar) as value, d as denominator, round(v / d * 100, 4) + 0.0 as percent from lines' + fixed,
+        f'select dataset, "check", cast(v as varchar) as value, d as denominator, round(v / d * 100, 4) + 0.0 as percent, {_DETAIL_SQL} as detail from lines' + fixed,
         "prices",
         "benchmark_prices",
         "fundamentals",
@@ -1206,11 +1210,28 @@ def _cleaning_sql() -> str:
 @register("cleaning_log", _cleaning_sql())
 def cleaning_log(spark, folder):
     raw = dirty_tables(spark, folder)
-    return rounded(quality.cleaning_log(raw, loaders.load_tables(spark, raw)).drop("detail"))
+    return rounded(quality.cleaning_log(raw, loaders.load_tables(spark, raw)))
+
+
+_SUMMARY_DETAIL = {
+    "raw_rows": "Rows before cleaning.",
+    "loaded_rows": "Rows after parsing and required-field filtering.",
+    "ticker_count": "Distinct tickers after loading.",
+    "sector_count": "Distinct sectors after loading.",
+    "date_start": "Earliest loaded date.",
+    "date_end": "Latest loaded date.",
+    ("feature_panel", "rows"): "Weekly ticker rows.",
+    ("feature_panel", "ticker_count"): "Distinct tickers in the panel.",
+    ("model_dataset", "rows"): "Rows with forward labels.",
+    ("stock_scores", "rows"): "Scored names.",
+}
 
 
 def _summary_lines(section: str, source: str, **metrics: str) -> list[str]:
-    return [f"select '{section}' as section, '{m}' as metric, cast({e} as varchar) as value from {source}" for m, e in metrics.items()]
+    return [
+        f"select '{section}' as section, '{m}' as metric, cast({e} as varchar) as value, '{_SUMMARY_DETAIL.get((section, m)) or _SUMMARY_DETAIL[m]}' as detail from {source}"
+        for m, e in metrics.items()
+    ]
 
 
 @register(
@@ -1226,7 +1247,11 @@ def _summary_lines(section: str, source: str, **metrics: str) -> list[str]:
             + _summary_lines("feature_panel", "dataset", rows="count(*)", ticker_count="count(distinct ticker)")
             + _summary_lines("model_dataset", "dataset", rows="count(*)")
             + _summary_lines("stock_scores", "latest", rows="count(*)")
-            + ["select 'configuration', 'fundamentals_lag_days', '45' union all select 'configuration', 'target_horizon_weeks', '13'"]
+            + [
+                f"select '{name}', 'source_file', '{name}.parquet', 'Input of this run.'"
+                for name in ("prices", "benchmark_prices", "fundamentals", "controversies")
+            ]
+            + ["select 'configuration', 'fundamentals_lag_days', '45', 'Availability lag.' union all select 'configuration', 'target_horizon_weeks', '13', 'Forward label window.'"]
         ),
         "prices",
         "benchmark_prices",
@@ -1244,9 +1269,8 @@ def data_summary(spark, folder):
         "controversies": raw_controversies(spark, folder),
     }
     panel = dataset(spark, folder)
-    return quality.data_summary(
-        raw, loaders.load_tables(spark, raw), panel, panel, latest_scores(spark, folder)
-    ).drop("detail")
+    files = {name: f"{folder}/raw/{name}.parquet" for name in raw}
+    return quality.data_summary(raw, loaders.load_tables(spark, raw), panel, panel, latest_scores(spark, folder), files)
 
 
 # --- reports -----------------------------------------------------------------------
@@ -1403,11 +1427,11 @@ def ranked_scores(spark, folder):
 
 @register(
     "filtered_scores",
-    sql("select * from latest where risk_bucket = 'Medium' and contains(ticker, 'S1')", "latest", rounded="crash_probability"),
+    sql("select * from latest where risk_bucket = 'Medium' and contains(ticker, 'S5')", "latest", rounded="crash_probability"),
 )
 def filtered_scores(spark, folder):
     shouted = latest_scores(spark, folder).withColumn("risk_bucket", F.upper("risk_bucket"))
-    return rounded(reports.filtered_scores(shouted, "Medium", " s1 "))
+    return rounded(reports.filtered_scores(shouted, "Medium", " s5 "))
 
 
 @register(
@@ -1828,20 +1852,39 @@ def variant_quarter_excluded(spark, folder):
     return rounded(variants.script_quarter(scored_panel(spark, folder))["excluded"])
 
 
+@register(
+    "variant_quarter_weekly",
+    sql(
+        """select path.date, path.s as strategy_cumulative, path.b as benchmark_cumulative, wk.s as strategy_weekly_return, wk.b as benchmark_weekly_return
+        from path join wk on path.date = wk.date""",
+        "panel_dates",
+        rounded="strategy_cumulative benchmark_cumulative strategy_weekly_return benchmark_weekly_return",
+        extra=QUARTER_PARTS,
+    ),
+)
+def variant_quarter_weekly(spark, folder):
+    return rounded(variants.script_quarter(scored_panel(spark, folder))["weekly"])
+
+
 @register(
     "variant_quarter_summary",
     sql(
-        """select (select concat('Q', quarter(min(date)), ' ', year(min(date))) from fwd) as quarter_label,
+        """select (select cut_date from cut) as cutoff_date, (select concat('Q', quarter(min(date)), ' ', year(min(date))) from fwd) as quarter_label,
+        count(*) as forward_weeks, round(arg_max(path.s, path.date) - 1, 4) as strategy_quarter_return, round(arg_max(path.b, path.date) - 1, 4) as benchmark_quarter_return,
+        round((arg_max(path.s, path.date) - arg_max(path.b, path.date)) * 10000)::int as outperformance_bps,
+        round(round((arg_max(path.s, path.date) - arg_max(path.b, path.date)) * 1e9) / 4) as dollar_impact_quarter,
+        round((arg_max(path.s, path.date) - arg_max(path.b, path.date)) * 1e9) as dollar_impact_annualised,
+        (select count(*) from uni where high) as n_excluded, (select count(*) from uni where not high) as n_held,
         (select round(count(*) filter (f.p1 / f.p0 - 1 < 0) / count(*), 4) from exc e left join
         (select p.ticker, arg_min(p.adj_close, p.date) as p0, arg_max(p.adj_close, p.date) as p1 from scored_panel p join fwd on p.date = fwd.date group by 1) f
-        on e.ticker = f.ticker) as pct_excluded_correct""",
+        on e.ticker = f.ticker) as pct_excluded_correct from path""",
         "panel_dates",
+        rounded=_DOLLARS,
         extra=QUARTER_PARTS,
     ),
 )
 def variant_quarter_summary(spark, folder):
-    summary = variants.script_quarter(scored_panel(spark, folder))["summary"]
-    return rounded(summary.select("quarter_label", "pct_excluded_correct"))
+    return rounded(variants.script_quarter(scored_panel(spark, folder))["summary"], _DOLLARS)
 
 
 @register(

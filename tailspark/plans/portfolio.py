@@ -326,4 +326,9 @@ def quarter_backtest(
         universe.agg(F.count("*") - n_high).scalar().alias("n_held"),
         excluded.agg(F.round(right, 4)).scalar().alias("pct_excluded_correct"),
     )
-    return {"weekly": weekly, "excluded": excluded, "summary": summary}
+    returns = weekly_returns.select(
+        "date",
+        F.round("strategy", 6).alias("strategy_weekly_return"),
+        F.round("benchmark", 6).alias("benchmark_weekly_return"),
+    )
+    return {"weekly": weekly, "returns": returns, "excluded": excluded, "summary": summary}
