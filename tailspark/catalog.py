@@ -1633,6 +1633,64 @@ def _fitted(spark, folder) -> modelling.FittedModel:
     return modelling.fit(training_rows(spark, folder), FEATURES)
 
 
+_NEWTON_ROWS = """select (coalesce(l.lagged_ncskew, p.median) - p.mean) / p.scale as x, l.high_crash_risk::double as y,
+    n.rows / (2.0::double * case when l.high_crash_risk = 1 then n.ones else n.rows - n.ones end) as w
+    from labelled l, (select * from prep where feature = 'lagged_ncskew') p, (select count(*)::double as rows, sum(high_crash_risk)::double as ones from labelled) n"""
+# weighted logistic regression with C = 1 by Newton steps from zero
+_NEWTON = """select 0 as i, 0.0::double as a, 0.0::double as b union all
+    select i + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) from (
+      select i, a, b, sum(w * (p - y)) as g1, sum(w * (p - y) * x) + b as g2, sum(w * p * (1 - p)) as h11, sum(w * p * (1 - p) * x) as h12, sum(w * p * (1 - p) * x * x) + 1 as h22
+      from (select n.i, n.a, n.b, r.x, r.y, r.w, 1 / (1 + exp(-(n.a + n.b * r.x))) as p from newton n, newton_rows r where n.i < 12) group by i, a, b)"""
+
+
+def _newton_sql(select: str, rounded: dict[str, int]) -> str:
+    text_ = sql(select, "labelled", rounded=rounded, extra={"prep": PREPARED_SQL, "newton_rows": _NEWTON_ROWS, "newton": _NEWTON, "fitted": "select a, b from newton where i = 12"})
+    return text_.replace("with ", "with recursive ", 1)
+
+
+def _one_feature(spark, folder) -> modelling.FittedModel:
+    return modelling.fit(training_rows(spark, folder), ("lagged_ncskew",))
+
+
+@register("one_feature_fit", _newton_sql("select a as intercept, b as coefficient from fitted", {"intercept": 3, "coefficient": 3}))
+def one_feature_fit(spark, folder):
+    """The weighted, penalised fit on one feature; SQL finds it by Newton steps."""
+    fitted = _one_feature(spark, folder).classifier
+    table = spark.createDataFrame([(float(fitted.intercept), float(fitted.coefficients[0]))], "intercept double, coefficient double")
+    return rounded(table, {"intercept": 3, "coefficient": 3})
+
+
+@register(
+    "one_feature_scores",
+    _newton_sql(
+        """select ticker, as_of_date, crash_probability, case when place <= greatest(1, ceil(n * 0.2::double)) then 'High'
+        when place <= greatest(1, ceil(n * 0.2::double)) + ceil(n * 0.4::double) then 'Medium' else 'Low' end as risk_bucket, 'lagged_ncskew' as top_drivers
+        from (select *, row_number() over (order by crash_probability desc, ticker) as place, count(*) over () as n from (
+          select d.ticker, cast(d.date as varchar) as as_of_date, 1 / (1 + exp(-(a + b * (coalesce(d.lagged_ncskew, p.median) - p.mean) / p.scale))) as crash_probability
+          from dataset d, fitted, (select * from prep where feature = 'lagged_ncskew') p where d.date = (select max(date) from dataset)))""",
+        {"crash_probability": 3},
+    ),
+)
+def one_feature_scores(spark, folder):
+    """Scores, buckets and drivers of the newest date from that fit."""
+    return rounded(modelling.score_latest(_one_feature(spark, folder), dataset(spark, folder)), {"crash_probability": 3})
+
+
+@register(
+    "fit_certificate",
+    sql(
+        "select f.term, n.rows, n.ones, true as stationary from (select unnest(['intercept', " + ", ".join(f"'{f}'" for f in FEATURES) + "]) as term) f, (select count(*) as rows, sum(high_crash_risk)::bigint as ones from labelled) n",
+        "labelled",
+    ),
+)
+def fit_certificate(spark, folder):
+    """Whether each term of the full model stands at the optimum: its gradient is below a bound set beforehand."""
+    rows = training_rows(spark, folder)
+    counts = rows.agg(F.count("*").alias("rows"), F.sum("high_crash_risk").cast("long").alias("ones"))
+    found = modelling.optimality(_fitted(spark, folder), rows)
+    return found.select("term", (F.abs("gradient") < 1e-6).alias("stationary")).crossJoin(F.broadcast(counts))
+
+
 @register("train_metrics")
 def train_metrics(spark, folder):
     return modelling.train_classifier(dataset(spark, folder)).metrics

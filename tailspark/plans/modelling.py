@@ -205,6 +205,34 @@ def fit(
     return FittedModel(model_type, preparation, classifier, chosen)
 
 
+def optimality(model: FittedModel, train: DataFrame) -> DataFrame:
+    """(term, coefficient, gradient) of a logistic fit: the gradient of its penalised objective, by one aggregation.
+
+    The objective is strictly convex, so a gradient of zero marks the one optimum, whatever way the fit took. The
+    loss is the mean over the rows, classes weighted to equal total; the intercept bears no penalty.
+    """
+    if model.model_type != "logistic_regression":
+        raise ValueError("Only a logistic fit has a gradient")
+    counts = {r[LABEL]: r.n for r in train.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
+    rows = sum(counts.values())
+    label = F.col(LABEL).cast("double")
+    weight = F.when(F.col(LABEL) == 1, rows / (2.0 * counts[1])).otherwise(rows / (2.0 * counts[0]))
+    coefficients = [float(c) for c in model.classifier.coefficients.toArray()]
+    intercept = float(model.classifier.intercept)
+    xs = [F.col(f"_x{i}") for i in range(len(coefficients))]
+    prepared = train.select(
+        label.alias("_y"), weight.alias("_w"), *[x.alias(f"_x{i}") for i, x in enumerate(model.preparation.columns())]
+    )
+    score = sum((x * F.lit(c) for x, c in zip(xs, coefficients)), F.lit(intercept))
+    residual = prepared.withColumn("_r", F.col("_w") * (1.0 / (1.0 + F.exp(-score)) - F.col("_y")))
+    sums = residual.agg(F.avg("_r").alias("g"), *[F.avg(F.col("_r") * x).alias(f"g{i}") for i, x in enumerate(xs)])
+    penalty = 1.0 / (model.params["classifier__C"] * rows)
+    terms = [("intercept", intercept, F.col("g"))]
+    terms += [(f, c, F.col(f"g{i}") + F.lit(penalty * c)) for i, (f, c) in enumerate(zip(model.features, coefficients))]
+    lines = [F.struct(F.lit(t).alias("term"), F.lit(c).alias("coefficient"), g.alias("gradient")) for t, c, g in terms]
+    return sums.select(F.inline(F.array(*lines)))
+
+
 def labelled_rows(
     dataset: DataFrame, settings: Settings, extra: Sequence[str] = (), purpose: str = "train"
 ) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tailspark import Settings
@@ -56,6 +57,29 @@ def test_logistic_fit_equals_newton(dataset, c):
     assert all(0 < v < 1 for v in p)
 
 
+def test_the_gradient_vanishes_at_the_fit_only(dataset):
+    train = dataset.where("high_crash_risk is not null")
+    model = modelling.fit(train, NAMES)
+    at = {r.term: r for r in modelling.optimality(model, train).collect()}
+    assert list(at) == ["intercept", *NAMES] and all(abs(r.gradient) < 1e-6 for r in at.values())
+    pdf = train.toPandas()
+    raw = pdf[list(NAMES)].astype(float)
+    filled = raw.fillna(raw.median())
+    x = np.column_stack([np.ones(len(raw)), ((filled - filled.mean()) / filled.std(ddof=0)).to_numpy()])
+    y, n = pdf.high_crash_risk.to_numpy(float), len(pdf)
+
+    class Moved:
+        intercept, coefficients = 0.3, Vectors.dense([0.1, -0.2, 0.5])
+
+    moved = modelling.FittedModel("logistic_regression", model.preparation, Moved(), model.params)
+    b = np.array([0.3, 0.1, -0.2, 0.5])
+    w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    want = x.T @ (w * (1 / (1 + np.exp(-x @ b)) - y)) / n + np.r_[0, b[1:]] / n
+    assert np.allclose([r.gradient for r in modelling.optimality(moved, train).collect()], want)
+    with pytest.raises(ValueError):
+        modelling.optimality(modelling.FittedModel("random_forest", model.preparation, None), train)
+
+
 def test_training_scoring_and_drivers(spark, dataset):
     trained = modelling.train_classifier(dataset, FEW)
     assert trained.trained_rows == 76 and sum(trained.class_balance.values()) == 76
