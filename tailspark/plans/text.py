@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from tailspark.operators.calendar import split_cuts
 from tailspark.operators.resample import week_end
 from tailspark.staging import stage
 
+TICKER_WORDS = 10_000  # tickers spelled like words that are looked up in the row
+SLOTS = 64  # partial vectors that reach the driver
+
 
 def scored_texts(texts: DataFrame, **lexicons: Sequence[str]) -> DataFrame:
     """Word counts and ratios per text."""
@@ -188,13 +194,18 @@ def default_stop_words() -> list[str]:
 def kept_words(texts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(columns of texts, words): phrase tokens without stop words and tickers.
 
-    Needs a `text_id` column. A ticker can only stop a word made of letters; the tickers are a
-    table of any size, so they leave by an anti-join.
+    A ticker can only stop a word made of letters. Up to TICKER_WORDS of them are looked up in the row, so no
+    text is shuffled; a longer list is a table of any size, and its words leave by an anti-join.
     """
     spelled = texts.select(F.lower("ticker").alias("word")).where(F.col("word").rlike("^[a-z]{2,}$")).distinct()
     stop = sorted(set(stop_words))
+    found = [r.word for r in spelled.limit(TICKER_WORDS + 1).collect()]
+    if len(found) <= TICKER_WORDS:
+        stop = sorted({*stop, *found})
+    else:
+        texts = with_text_id(texts)
     plain = texts.withColumn("words", F.filter(words.phrase_tokens(F.col("text")), lambda w: ~w.isin(stop)))
-    return _without_tickers(plain, spelled)
+    return plain if len(found) <= TICKER_WORDS else _without_tickers(plain, spelled)
 
 
 def with_text_id(texts: DataFrame) -> DataFrame:
@@ -237,64 +248,53 @@ def bigram_terms(
 
     Per bucket: the most frequent pairs form the vocabulary, each text's counts are weighted
     with ln((1+N)/(1+df))+1 and scaled to length one, and weights are averaged over all N
-    texts. The vocabulary (two times `vocabulary` rows) is the only broadcast.
+    texts. Pairs are counted, weighted and scaled inside a text's row as a sparse vector, so the only shuffle is that
+    of the pairs' totals. The driver holds a number for each of the two times `vocabulary` pairs.
     """
     stop = default_stop_words() if stop_words is None else stop_words
-    numbered = with_text_id(texts)
-    bucketed = (
-        scored_texts(kept_words(numbered, stop), **lexicons)
-        .where(F.col("text_sentiment_score") != 0)
-        .select(
-            "text_id",
-            F.when(F.col("text_sentiment_score") > 0, "bullish").otherwise("bearish").alias("sentiment_bucket"),
-            _pairs(F.col("words")).alias("pairs"),
-        )
-    )
-    rows = stage(bucketed, "pairs")
-    exploded = rows.select("text_id", "sentiment_bucket", F.explode("pairs").alias("bigram"))
-    totals = exploded.groupBy("sentiment_bucket", "bigram").agg(F.count("*").alias("total"))
-
-    def frequent(bucket: str) -> DataFrame:
-        return (
-            totals.where(F.col("sentiment_bucket") == bucket)
-            .orderBy(F.col("total").desc(), "bigram")
-            .limit(vocabulary)
-        )
-
-    kept = frequent("bullish").unionByName(frequent("bearish")).select("sentiment_bucket", "bigram")
-    counts = (
-        exploded.join(F.broadcast(kept), ["sentiment_bucket", "bigram"])
-        .groupBy("sentiment_bucket", "text_id", "bigram")
-        .agg(F.count("*").alias("tf"))
-    )
-    counts = stage(counts, "counts")
-    sizes = rows.groupBy("sentiment_bucket").agg(F.count("*").alias("texts"))
-    weights = (
-        counts.groupBy("sentiment_bucket", "bigram")
-        .agg(F.count("*").alias("df"))
-        .join(F.broadcast(sizes), "sentiment_bucket")
-        .select(
-            "sentiment_bucket",
-            "bigram",
-            "texts",
-            (F.ln((1 + F.col("texts")) / (1 + F.col("df"))) + 1.0).alias("idf"),
-        )
-    )
-    weighted = counts.join(F.broadcast(weights), ["sentiment_bucket", "bigram"]).withColumn(
-        "weight", F.col("tf") * F.col("idf")
-    )
-    # a text has at most `vocabulary` rows here
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("sentiment_bucket", "text_id")))
-    means = (
-        weighted.select("sentiment_bucket", "bigram", "texts", (F.col("weight") / length).alias("unit"))
+    bucket = F.when(F.col("text_sentiment_score") > 0, "bullish").otherwise("bearish")
+    scored = scored_texts(kept_words(texts, stop), **lexicons).where(F.col("text_sentiment_score") != 0)
+    # narrow rows: the words of the text, written once, as their pairs are read twice
+    rows = stage(scored.select(bucket.alias("sentiment_bucket"), "words"), "words").withColumn("pairs", _pairs(F.col("words")))
+    totals = (
+        rows.select("sentiment_bucket", F.explode("pairs").alias("bigram"))
         .groupBy("sentiment_bucket", "bigram")
-        .agg((F.sum("unit") / F.max("texts")).alias("tfidf_weight"))
+        .agg(F.count("*").alias("total"))
     )
+    totals = stage(totals, "pair-totals")
+    kept = [
+        (name, r.bigram)
+        for name in ("bearish", "bullish")
+        for r in totals.where(F.col("sentiment_bucket") == name).orderBy(F.col("total").desc(), "bigram").limit(vocabulary).collect()
+    ]
+    if not kept:
+        return totals.select("sentiment_bucket", "bigram", F.lit(0.0).alias("tfidf_weight")).limit(0)
+    # a pair of one bucket is another term than that of the other
+    vocabulary_terms = [f"{name} {pair}" for name, pair in kept]
+    counter = CountVectorizerModel.from_vocabulary(vocabulary_terms, inputCol="terms", outputCol="counts")
+    terms = rows.select("sentiment_bucket", F.transform("pairs", lambda p: F.concat_ws(" ", "sentiment_bucket", p)).alias("terms"))
+    counts = stage(counter.transform(terms).select("sentiment_bucket", "counts"), "pair-counts")
+    texts_of = {r.sentiment_bucket: r.n for r in counts.groupBy("sentiment_bucket").agg(F.count("*").alias("n")).collect()}
+    n_texts = np.array([texts_of[name] for name, _ in kept], float)
+    holding = _vector_total(counts, "counts", "numNonZeros")
+    idf = np.log((1 + n_texts) / (1 + holding)) + 1.0
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weights").transform(counts)
+    unit = Normalizer(p=2.0, inputCol="weights", outputCol="unit").transform(weighted)
+    means = _vector_total(unit, "unit", "sum") / n_texts
+    terms_found = [(name, pair, float(mean)) for (name, pair), mean in zip(kept, means)]
+    frame = rows.sparkSession.createDataFrame(terms_found, "sentiment_bucket string, bigram string, tfidf_weight double")
     # at most two times `vocabulary` rows are ranked
     place = F.row_number().over(
         Window.partitionBy("sentiment_bucket").orderBy(F.round("tfidf_weight", 12).desc(), "bigram")
     )
-    return means.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
+    return frame.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
+
+
+def _vector_total(df: DataFrame, column: str, metric: str) -> np.ndarray:
+    """A summed metric of a vector column, merged in two levels: SLOTS vectors meet on the driver, not one for each task."""
+    slots = df.select(F.pmod(F.spark_partition_id(), F.lit(SLOTS)).alias("slot"), column).groupBy("slot")
+    parts = slots.agg(Summarizer.metrics(metric).summary(F.col(column)).getField(metric).alias("total")).collect()
+    return np.sum([p.total.toArray() for p in parts], axis=0)
 
 
 def topics(
@@ -315,9 +315,8 @@ def topics(
     """
     spark = texts.sparkSession
     stop = default_stop_words() if stop_words is None else stop_words
-    numbered = with_text_id(texts)
     prepared = stage(
-        kept_words(numbered, stop).select(F.upper(F.trim("ticker")).alias("ticker"), "date", "words"), "words"
+        kept_words(texts, stop).select(F.upper(F.trim("ticker")).alias("ticker"), "date", "words"), "words"
     )
     n_texts = prepared.count()
     if n_texts == 0 or prepared.where(F.size("words") > 0).isEmpty():

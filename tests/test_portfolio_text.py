@@ -1,7 +1,11 @@
 import datetime as dt
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tailspark.plans import downside, portfolio, reports, text, variants
@@ -155,3 +159,51 @@ def test_empty_weeks_variant(spark):
     )
     got = [tuple(r)[2:] for r in variants.weekly_with_empty_weeks(df).orderBy("date").collect()]
     assert got[0] == (10.0, 1.0, None) and got[1] == (None, 0.0, 0.0) and math.isclose(got[2][2], 0.2)
+
+
+def _brute_bigrams(rows, stop, vocabulary, top, good, bad):
+    """Mean of length-one pair weights of each bucket, text by text."""
+    tickers = {t.lower() for t, _ in rows if t and re.fullmatch("[a-z]{2,}", t.lower())}
+    found = {}
+    for bucket, sign in (("bearish", -1), ("bullish", 1)):
+        texts = []
+        for _, body in rows:
+            tokens = re.findall(r"\w+", (body or "").lower())
+            letters = re.findall("[a-z]+", (body or "").lower())
+            score = sum(w in good for w in letters) - sum(w in bad for w in letters)
+            if score * sign > 0:
+                kept = [w for w in tokens if re.fullmatch("[a-z][a-z]+", w) and w not in stop and w not in tickers]
+                texts.append(Counter(f"{x} {y}" for x, y in zip(kept, kept[1:])))
+        totals = sum(texts, Counter())
+        kept = sorted(totals, key=lambda p: (-totals[p], p))[:vocabulary]
+        idf = {p: np.log((1 + len(texts)) / (1 + sum(p in t for t in texts))) + 1 for p in kept}
+        means = dict.fromkeys(kept, 0.0)
+        for t in texts:
+            weights = {p: t[p] * idf[p] for p in kept if p in t}
+            length = np.sqrt(sum(w * w for w in weights.values()))
+            for p, w in weights.items():
+                means[p] += w / length / len(texts)
+        for p in sorted(means, key=lambda p: (-round(means[p], 12), p))[:top]:
+            found[bucket, p] = means[p]
+    return found
+
+
+@pytest.mark.parametrize("in_row", [10_000, 0])
+def test_bigrams_equal_brute_force_with_the_default_stop_words(spark, monkeypatch, in_row):
+    monkeypatch.setattr(text, "TICKER_WORDS", in_row)
+    rng = random.Random(5)
+    pool = "the and rise gain fraud loss acme bolt market plan growth of very plant report x1 lawsuit".split()
+    rows = [(rng.choice(["ACME", "BOLT", "A1", None]), " ".join(rng.choices(pool, k=rng.randrange(0, 40)))) for _ in range(60)]
+    rows += [("ACME", None), ("ACME", ""), ("ACME", "gain " * 500), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "ticker string, text string")
+    lexicon = dict(positive=["rise", "gain", "growth"], negative=["fraud", "loss", "lawsuit"])
+    got = {
+        (r.sentiment_bucket, r.bigram): r.tfidf_weight
+        for r in text.bigram_terms(df, vocabulary=25, top=7, **lexicon).collect()
+    }
+    stop = set(text.default_stop_words())
+    assert {"the", "and", "of", "very"} <= stop
+    want = _brute_bigrams(rows, stop, 25, 7, set(lexicon["positive"]), set(lexicon["negative"]))
+    assert got.keys() == want.keys() and len(got) == 14
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert text.bigram_terms(df.limit(0), **lexicon).collect() == []
