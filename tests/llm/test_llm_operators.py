@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -489,6 +490,99 @@ def test_licence_key_phrases_are_enough(spark):
     assert (doc.tolist(), start.tolist()) == ([0], [-1]) and abs(score[0] - 2 / 3) < 1e-9
 
 
+def brute_licences(words):
+    """Labels whose key phrases all stand in order, looked for at every place, without index or votes."""
+
+    def stop_of(i, phrase):
+        spare, k = len(phrase) // licences.PER_WORD, 0
+        while k < len(phrase):
+            if i >= len(words):
+                return None
+            if words[i] == phrase[k]:
+                k += 1
+            elif k and spare:
+                spare -= 1
+            else:
+                return None
+            i += 1
+        return i
+
+    found = set()
+    for label, whole, keys in licences.TEMPLATES:
+        wanted = [(f" {whole} ".index(f" {key} "), key.split()) for key in keys]
+        offsets = [whole[:at].count(" ") for at, _ in wanted]
+        for first in range(len(words)):
+            end, good = stop_of(first, wanted[0][1]), True
+            if end is None:
+                continue
+            for offset, (_, key) in zip(offsets[1:], wanted[1:]):
+                place = first + offset - offsets[0]
+                stops = [stop_of(i, key) for i in range(max(end, place - licences.SLACK), min(len(words), place + licences.SLACK + 1))]
+                end = next((x for x in stops if x is not None), None)
+                if end is None:
+                    good = False
+                    break
+            if good:
+                found.add(label)
+    return found
+
+
+def test_licences_with_words_put_in(spark):
+    """Insertions anywhere: nothing that brute force does not find, and at least 0.9 of what it finds."""
+    rng = random.Random(11)
+    prose = "tavo the of melin software copy karu license any and sende use in lopi this".split()
+    texts = []
+    for n in range(12):
+        for label, whole, keys in licences.TEMPLATES:
+            w = whole.split()
+            for _ in range(rng.randrange(0, 1 + len(w) // 8)):
+                w.insert(rng.randrange(1, len(w) + 1), rng.choice(prose))
+            if n % 3 == 0:  # words left out at the end
+                w = w[: rng.randrange(len(w) // 2, len(w) + 1)]
+            texts.append(rng.choices(prose, k=rng.randrange(0, 400)) + w + rng.choices(prose, k=rng.randrange(0, 400)))
+    texts += [rng.choices(prose, k=500) for _ in range(40)]
+    rows = [(i, " ".join(w), "en", "s") for i, w in enumerate(texts)]
+    got = {r["doc_id"]: {m["label"] for m in r["matches"] if not m["base"]} for r in licences.scan(table(spark, rows)).collect()}
+    want = {i: brute_licences(w) for i, w in enumerate(texts)}
+    assert all(got[i] <= want[i] for i in want)
+    hits, all_places = sum(len(got[i]) for i in want), sum(map(len, want.values()))
+    verbatim = sum(len(t) > 0 for t in want.values())
+    assert all_places > 80 and verbatim > 70 and hits >= 0.9 * all_places, (hits, all_places)
+
+
+def test_a_licence_word_put_in_is_found_and_a_replaced_one_is_not(spark):
+    mit = dict((t[0], t[1]) for t in licences.TEMPLATES)["mit"]
+    between = mit.replace("to any person", "to really any person").replace("and associated", "and all the associated")
+    inside = mit.replace("hereby granted", "hereby now granted")
+    far = mit.replace("to any person", "x " * 40 + "to any person")
+    rows = [(i, t, "en", "s") for i, t in enumerate([between, inside, far, mit.replace("granted", "denied"), (mit + " ") * 3])]
+    got = {r["doc_id"]: r["matches"] for r in licences.scan(table(spark, rows)).collect()}
+    assert [(m["label"], m["start"], m["score"]) for m in got[0]] == [("mit", 0, 1.0)] and got[0][0]["length"] == len(between.split())
+    assert [(m["label"], m["start"]) for m in got[1]] == [("mit", 0)]
+    assert got[2] == [] and got[3] == []
+    n = len(mit.split())
+    assert [m["start"] for m in got[4]] == [0, n, 2 * n]
+
+
+def test_a_file_looks_up_its_own_rarest_words():
+    doc = np.array([0, 0, 0, 0, 1, 1])
+    words = np.array([0, 1, 2, 0, 0, 2])
+    seen = licences.rarest(doc, words, np.array([9, 5, 1]), 2)
+    assert seen.tolist() == [False, True, True, False, True, True]
+    assert licences.rarest(doc, words, np.array([1, 5, 9]), 2).tolist() == [True, True, False, True, True, True]
+    assert licences.rarest(doc[:0], words[:0], np.array([1, 5, 9])).tolist() == []
+    # votes in blocks of any size are the same
+    t = licences.Template("t", tuple(range(6)), ((0, 2),), False)
+    places, found = np.array([3, 4, 5, 90, 91, 200, 201, 202, 203]), np.array([0, 1, 2, 0, 1, 2, 3, 4, 5])
+    whole = licences.agreed(places, found, t).tolist()
+    assert whole == [0, 1, 6, 7]
+    block, licences.BLOCK = licences.BLOCK, 1
+    try:
+        assert licences.agreed(places, found, t).tolist() == whole
+    finally:
+        licences.BLOCK = block
+
+
 # --- op8 ---------------------------------------------------------------------------
 
 
