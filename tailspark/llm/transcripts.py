@@ -5,7 +5,8 @@ with it. A line shows a speaker marker, if any, its place in its row, its length
 question. Spark counts transitions and emissions over all rows whose role is known; markers have
 fixed weights. Roles are then read off by Viterbi, without looking at the given ones.
 
-A conversation may be of any length: its rows are cut into blocks of `BLOCK` turns. A block gives
+A conversation may be of any length: its rows are cut into blocks of at most `BLOCK` rows. For that all rows are
+put in order by ranges, which also cut rows that share conversation and turn, and numbered. A block gives
 the best score from each state before it to each state at its end; these tables are combined
 `BLOCK` at a time up to one for the conversation, the states at the blocks' ends are fixed on the
 way down, and every block is then decoded on its own.
@@ -17,13 +18,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailspark.llm.common import stage
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 64
+HEAD = 256  # characters of a text that order rows of one turn
 STATES = 2 * len(ROLES) + 1  # begins and goes on for each role, and the start
 START = STATES - 1
 FEATURES = 16
@@ -56,15 +58,39 @@ def rows_of(conversations: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
     alone = F.concat(F.lit("row "), F.xxhash64(text, turn).cast("string"))
-    lines = F.split(F.col("text"), "\n")
-    return conversations.select(
+    return _with_symbols(conversations.select(
         F.coalesce(F.col("conv_id").cast("string"), alone).alias("conv"),
         F.col("conv_id").cast("long").alias("conv_id"),
         turn.alias("turn"),
         F.coalesce(F.greatest(turn, F.lit(0)), F.lit(2**31)).alias("place"),
         F.col("role").cast("string").alias("given_role"),
         text.alias("text"),
-    ).withColumn("symbols", F.transform(lines, _symbol))
+    ))
+
+
+def _with_symbols(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("symbols", F.transform(F.split(F.col("text"), "\n"), _symbol))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` written in order of conversation and place, with number (a count over all rows) and block.
+
+    The order is total, as repeated rows get a number of their own before they are dealt, so ranges cut any
+    group: rows without turn, of one turn, and copies. A block is BLOCK numbers of one conversation.
+    """
+    tie, head = F.monotonically_increasing_id(), F.substring("text", 1, HEAD)
+    keyed = rows.drop("symbols").select("*", head.alias("head"), F.xxhash64("text").alias("digest"), tie.alias("tie"))
+    order = ["conv", "place", "head", "digest", "given_role", "tie"]
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("head", "digest", "tie")
+    # symbols are worked out behind the shuffle, which samples its rows
+    placed = stage(_with_symbols(ranged).withColumn("at", F.monotonically_increasing_id()), "transcripts")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    # one row for each shuffle partition
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    number = F.col("_before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counted = placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("number", number)
+    return counted.drop("_part", "_before", "at").withColumn("block", F.floor(F.col("number") / BLOCK))
 
 
 def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -166,15 +192,21 @@ _TABLE = pa.schema([("conv", pa.string()), ("block", pa.int64()), ("scores", pa.
 _ENDS = pa.schema([("conv", pa.string()), ("block", pa.int64()), ("entry", pa.int32()), ("final", pa.int32())])
 
 
+def _steps(transition: np.ndarray, emission: np.ndarray) -> list[np.ndarray]:
+    """One matrix for each symbol, shared by all lines that show it."""
+    return [transition + emission[:, symbol] for symbol in range(emission.shape[1])]
+
+
 def _leaf(transition: np.ndarray, emission: np.ndarray):
     def run(batches):
+        steps = _steps(transition, emission)
+
         def tables():
             for rows in _groups(batches, ["conv", "block"]):
                 total = None
                 for row in rows:
                     for symbol in row["symbols"]:
-                        step = transition + emission[:, symbol]
-                        total = step if total is None else times(total, step)
+                        total = steps[symbol] if total is None else times(total, steps[symbol])
                 yield {"conv": rows[0]["conv"], "block": rows[0]["block"], "scores": total.ravel()}
 
         yield from _batched(tables(), _TABLE)
@@ -222,10 +254,11 @@ def render(role: str, lines: list[str]) -> str:
 
 def _decoded(transition: np.ndarray, emission: np.ndarray):
     def run(batches):
+        steps = _steps(transition, emission)
+
         def turns():
             for rows in _groups(batches, ["conv", "block"]):
-                steps = [transition + emission[:, s] for row in rows for s in row["symbols"]]
-                path = best_path(steps, rows[0]["entry"], rows[0]["final"])
+                path = best_path([steps[s] for row in rows for s in row["symbols"]], rows[0]["entry"], rows[0]["final"])
                 at = 0
                 for row in rows:
                     lines, states = row["text"].split("\n"), path[at : at + len(row["symbols"])]
@@ -249,12 +282,12 @@ def parse(conversations: DataFrame) -> DataFrame:
 
     A row gives one turn, or several where markers or the model see a change of speaker inside
     it; part numbers them. continues tells that a turn goes on from the row before. Rows of
-    equal conv_id and turn go by text; rows repeat as often as they occur. A missing text is one
+    equal conv_id and turn go by the first HEAD characters of the text, then by a hash of it; rows repeat as often as they occur. A missing text is one
     empty line; a missing role is not trained on. Without any known role all counts are one and
     markers alone decide. Other columns are ignored.
     """
     spark = conversations.sparkSession
-    rows = stage(rows_of(conversations).withColumn("block", F.floor(F.col("place") / BLOCK)), "transcripts")
+    rows = numbered(rows_of(conversations))
     transition, emission = train(rows)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -262,21 +295,27 @@ def parse(conversations: DataFrame) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
     table = "conv string, block long, scores array<double>"
-    leaf = by(rows.select("conv", "block", "place", "text", "symbols"), "conv", "block", order=("place", "text"))
-    levels = [stage(leaf.mapInArrow(_leaf(transition, emission), table), "blocks")]
-    while (levels[-1].agg(F.max("block")).first()[0] or 0) > 0:
-        up = by(levels[-1].withColumn("parent", F.floor(F.col("block") / BLOCK)), "conv", "parent", order=("block",))
-        levels.append(stage(up.mapInArrow(_joined, table), "blocks"))
+    leaf = by(rows.select("conv", "block", "number", "symbols"), "conv", "block", order=("number",))
+    leaves = stage(leaf.mapInArrow(_leaf(transition, emission), table), "blocks")
+    first = leaves.groupBy("conv").agg(F.min("block").alias("first"))
+    # a level: one table a block, and the number of its parent, counted from the conversation's first block
+    within = F.col("block") - F.col("first")
+    levels = [stage(leaves.join(first, "conv").select("conv", "block", "scores", within.alias("within")), "blocks")]
+    while (levels[-1].agg(F.max("within")).first()[0] or 0) > 0:
+        up = by(_to_parent(levels[-1]), "conv", "parent", order=("block",))
+        levels.append(stage(up.mapInArrow(_joined, table).withColumn("within", F.col("block")), "blocks"))
     starts = F.slice("scores", START * STATES + 1, STATES)
     ends_ = levels[-1].select(
         "conv", "block", F.lit(START).alias("entry"), (F.array_position(starts, F.array_max(starts)) - 1).cast("int").alias("final")
     )
     for level in reversed(levels[:-1]):
-        down = level.withColumn("parent", F.floor(F.col("block") / BLOCK)).join(
-            ends_.withColumnRenamed("block", "parent"), ["conv", "parent"]
-        )
+        down = _to_parent(level).join(ends_.withColumnRenamed("block", "parent"), ["conv", "parent"])
         ends_ = stage(
             by(down, "conv", "parent", order=("block",)).mapInArrow(_split, "conv string, block long, entry int, final int"), "ends"
         )
-    decoded = by(rows.join(ends_, ["conv", "block"]), "conv", "block", order=("place", "text", "given_role"))
+    decoded = by(rows.drop("place").join(ends_, ["conv", "block"]), "conv", "block", order=("number",))
     return decoded.mapInArrow(_decoded(transition, emission), OUT)
+
+
+def _to_parent(level: DataFrame) -> DataFrame:
+    return level.withColumn("parent", F.floor(F.col("within") / BLOCK)).drop("within")

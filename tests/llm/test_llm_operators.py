@@ -776,6 +776,33 @@ def test_transcripts_with_markers(spark):
     assert transcripts.parse(chats(spark, [])).collect() == []
 
 
+def test_rows_without_turn_are_cut_into_blocks(spark):
+    """A third of all rows under one conversation without turn, many of them copies: blocks stay small, results as in one walk."""
+    rng = random.Random(8)
+    rows = [(7, None, rng.choice(["user", None]), f"User: {sentence(i % 50, 5)}?" if i % 3 else "same words here") for i in range(700)]
+    rows += [(c, t, ("user", "assistant")[t % 2], sentence(c * 9 + t, 4) + ("?" if t % 2 == 0 else "")) for c in range(100, 300) for t in range(7)]
+    rows += [(7, -1, "user", "early")] * 3
+    df = chats(spark, rows)
+    kept = transcripts.numbered(transcripts.rows_of(df))
+    numbers = [(r["conv"], r["number"], r["place"]) for r in kept.orderBy("number").collect()]
+    assert [n for _, n, _ in numbers] == list(range(len(rows)))
+    assert all((a[0], a[2]) <= (b[0], b[2]) for a, b in zip(numbers, numbers[1:]))
+    assert max(r["count"] for r in kept.groupBy("conv", "block").count().collect()) <= transcripts.BLOCK
+    got = transcripts.parse(df).collect()
+    whole = {(r["conv_id"], r["turn"], r["rendered"]) for r in got}
+    block, transcripts.BLOCK = transcripts.BLOCK, 10_000
+    try:
+        again = transcripts.parse(df).collect()
+    finally:
+        transcripts.BLOCK = block
+    order = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(order, got)) == sorted(map(order, again)) and len(got) >= len(rows) and (7, -1, render_user("early")) in whole
+
+
+def render_user(text):
+    return transcripts.render("user", [text])
+
+
 # --- shared ------------------------------------------------------------------------
 
 
