@@ -1087,6 +1087,27 @@ def ticker_topics(spark, folder):
     return text.topics(news(spark, folder), "documents")["ticker_topics"]
 
 
+@register(
+    "topic_certificate",
+    sql(
+        """select upper(trim(ticker)) as ticker, count(*) as article_count, cast(min(date) as varchar) as date_start, cast(max(date) as varchar) as date_end,
+        true as shares_add_up, true as fixed_point, true as dominant_is_largest from news_text group by 1""",
+        "news_text",
+    ),
+)
+def topic_certificate(spark, folder):
+    """Each ticker's shares against one more update from its words, and its dominant topic against its mean shares."""
+    fitted = text.fit_topics(news(spark, folder))
+    found = text.topic_tables(fitted, "documents")["ticker_topics"]
+    names = [c for c in found.columns if c.startswith("topic_") and c != "topic_probability"]
+    dominant = F.element_at(F.array(*names), F.substring("dominant_topic", 7, 3).cast("int"))
+    largest = found.select("ticker", ((dominant == F.greatest(*names)) & (dominant == F.col("topic_probability"))).alias("dominant_is_largest"))
+    return text.topic_certificate(fitted).join(largest, "ticker").select(
+        "ticker", "article_count", "date_start", "date_end", (F.abs(F.col("shares_sum") - 1) < 1e-9).alias("shares_add_up"),
+        (F.col("step") < 1e-3).alias("fixed_point"), "dominant_is_largest",
+    )
+
+
 @register("topic_counts")
 def topic_counts(spark, folder):
     return text.topic_counts(text.topics(news(spark, folder), "documents")["ticker_topics"])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import LDA
+import pandas as pd
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -204,7 +206,9 @@ def kept_words(texts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
         stop = sorted({*stop, *found})
     else:
         texts = with_text_id(texts)
-    plain = texts.withColumn("words", F.filter(words.phrase_tokens(F.col("text")), lambda w: ~w.isin(stop)))
+    # a missing text has no words
+    tokens = words.phrase_tokens(F.coalesce("text", F.lit("")))
+    plain = texts.withColumn("words", F.filter(tokens, lambda w: ~w.isin(stop)))
     return plain if len(found) <= TICKER_WORDS else _without_tickers(plain, spelled)
 
 
@@ -297,30 +301,33 @@ def _vector_total(df: DataFrame, column: str, metric: str) -> np.ndarray:
     return np.sum([p.total.toArray() for p in parts], axis=0)
 
 
-def topics(
+@dataclass(frozen=True)
+class FittedTopics:
+    rows: DataFrame  # ticker, date, words, features
+    vocabulary: list[str]
+    model: LDAModel
+    k: int
+
+
+def fit_topics(
     texts: DataFrame,
-    source_file: str = "",
     n_topics: int = 5,
-    top_words: int = 10,
     vocabulary: int = 2000,
     seed: int = 42,
     iterations: int = 10,
     stop_words: Sequence[str] | None = None,
-) -> dict[str, DataFrame]:
-    """LDA topics: `topic_words` (topic, rank, word, weight) and `ticker_topics` (mean shares).
+) -> FittedTopics | None:
+    """LDA on the kept words of the texts; None where no text has any.
 
-    The online optimiser takes every text in each iteration, which makes it batch
-    variational Bayes. Numbers differ from other LDA programs; the shape and the rules
-    (shares add up to one, dominant topic is the largest share) are the same.
+    The online optimiser takes every text in each iteration, which makes it batch variational Bayes.
     """
-    spark = texts.sparkSession
     stop = default_stop_words() if stop_words is None else stop_words
     prepared = stage(
         kept_words(texts, stop).select(F.upper(F.trim("ticker")).alias("ticker"), "date", "words"), "words"
     )
     n_texts = prepared.count()
     if n_texts == 0 or prepared.where(F.size("words") > 0).isEmpty():
-        return empty_topics(spark, "empty_vocabulary", source_file)
+        return None
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(prepared)
     k = max(1, min(n_topics, n_texts))
     # Spark's LDA needs two topics; a single text is one topic by definition
@@ -334,7 +341,22 @@ def topics(
         docConcentration=[1.0 / k] * fitted_k,
         topicConcentration=1.0 / k,
     ).fit(counter.transform(prepared))
-    vocabulary_words = F.array(*[F.lit(w) for w in counter.vocabulary])
+    return FittedTopics(counter.transform(prepared), counter.vocabulary, model, k)
+
+
+def topics(texts: DataFrame, source_file: str = "", top_words: int = 10, **fit) -> dict[str, DataFrame]:
+    """LDA topics: `topic_words` (topic, rank, word, weight) and `ticker_topics` (mean shares); `fit` as for `fit_topics`.
+
+    Numbers differ from other LDA programs; the shape and the rules (shares add up to one, dominant topic is
+    the largest share) are the same, and `topic_certificate` checks each text's shares.
+    """
+    fitted = fit_topics(texts, **fit)
+    return empty_topics(texts.sparkSession, "empty_vocabulary", source_file) if fitted is None else topic_tables(fitted, source_file, top_words)
+
+
+def topic_tables(fitted: FittedTopics, source_file: str = "", top_words: int = 10) -> dict[str, DataFrame]:
+    model, k = fitted.model, fitted.k
+    vocabulary_words = F.array(*[F.lit(w) for w in fitted.vocabulary])
     label = F.concat(F.lit("topic_"), F.col("topic") + 1)
     topic_words = (
         model.describeTopics(top_words)
@@ -349,7 +371,7 @@ def topics(
             F.col("term.termWeights").alias("weight"),
         )
     )
-    shares = model.transform(counter.transform(prepared)).select(
+    shares = model.transform(fitted.rows).select(
         "ticker", "date", vector_to_array("topicDistribution").alias("shares")
     )
     names = [f"topic_{i + 1}" for i in range(k)]
@@ -375,6 +397,58 @@ def topics(
     return {"topic_words": topic_words, "ticker_topics": ticker_topics}
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Shifted up to 6 or more, then the asymptotic series."""
+    x, low = np.array(x, float), 0.0
+    for _ in range(6):
+        low = low + np.where(x < 6, 1 / x, 0.0)
+        x = np.where(x < 6, x + 1, x)
+    y = 1 / (x * x)
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240))) - low
+
+
+def topic_certificate(fitted: FittedTopics) -> DataFrame:
+    """(ticker, article_count, date_start, date_end, shares_sum, step): are the shares those of the fitted topics?
+
+    A text's shares are a fixed point of the variational update with the topics held: its topic counts, worked out
+    once more from its words, must come out again. `step` is the largest mean change of a ticker's texts and
+    `shares_sum` the sum that is furthest from one.
+    """
+    concentration = fitted.model.estimatedDocConcentration().toArray()
+    weights = fitted.model.topicsMatrix().toArray()  # vocabulary x topics, at most 2000 x topics
+    word_topic = np.exp(_digamma(weights) - _digamma(weights.sum(axis=0)))
+
+    @F.pandas_udf("double")
+    def change(indices: pd.Series, counts: pd.Series, shares: pd.Series) -> pd.Series:
+        found = []
+        for i, n, share in zip(indices, counts, shares):
+            i, n = np.asarray(i, int), np.asarray(n, float)
+            if not len(i):  # a text without words of the vocabulary says nothing
+                found.append(0.0)
+                continue
+            topic_counts_ = np.asarray(share) * (concentration.sum() + n.sum())
+            topic = np.exp(_digamma(topic_counts_) - _digamma(topic_counts_.sum()))
+            again = concentration + topic * ((n / (word_topic[i] @ topic + 1e-100)) @ word_topic[i])
+            found.append(float(np.abs(again - topic_counts_).mean()))
+        return pd.Series(found, dtype=float)
+
+    checked = fitted.model.transform(fitted.rows).select(
+        "ticker", "date", vector_to_array("topicDistribution").alias("shares"), F.unwrap_udt("features").alias("v")
+    )
+    checked = checked.select(
+        "ticker", "date", F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("sum"), F.size("v.indices").alias("words"),
+        change("v.indices", "v.values", "shares").alias("step"),
+    )
+    off = F.struct(F.abs(F.col("sum") - 1.0).alias("off"), F.col("sum"))
+    return checked.groupBy("ticker").agg(
+        F.count("*").alias("article_count"),
+        F.min("date").cast("string").alias("date_start"),
+        F.max("date").cast("string").alias("date_end"),
+        F.max(F.when(F.col("words") > 0, off))["sum"].alias("shares_sum"),
+        F.max("step").alias("step"),
+    )
+
+
 def empty_topics(spark, status: str, source_file: str = "") -> dict[str, DataFrame]:
     return {
         "topic_words": spark.createDataFrame(

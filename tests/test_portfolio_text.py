@@ -207,3 +207,30 @@ def test_bigrams_equal_brute_force_with_the_default_stop_words(spark, monkeypatc
     assert got.keys() == want.keys() and len(got) == 14
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert text.bigram_terms(df.limit(0), **lexicon).collect() == []
+
+
+def test_topic_certificate(spark, monkeypatch):
+    rng = random.Random(2)
+    themes = ["oil river spill rig barrel".split(), "chip wafer demand fab node".split()]
+    rows = [(t, friday(i), " ".join(rng.choices(themes[(i + j) % 2], k=rng.randrange(1, 40)))) for j, t in enumerate("AB") for i in range(20)]
+    rows += [("C", friday(0), None), ("C", friday(1), "oil"), ("D", friday(3), "")]
+    df = spark.createDataFrame(rows, "ticker string, date date, text string")
+    fitted = text.fit_topics(df, n_topics=2, stop_words=[])
+    got = {r.ticker: r for r in text.topic_certificate(fitted).collect()}
+    assert {t: (r.article_count, r.date_start, r.date_end) for t, r in got.items()} == {
+        "A": (20, "2020-01-03", "2020-05-15"), "B": (20, "2020-01-03", "2020-05-15"), "C": (2, "2020-01-03", "2020-01-10"),
+        "D": (1, "2020-01-24", "2020-01-24"),
+    }
+    assert all(r.step < 1e-3 for r in got.values()) and got["D"].shares_sum is None
+    assert all(abs(r.shares_sum - 1) < 1e-9 for r in got.values() if r.ticker != "D")
+    # the check tells another update rule apart
+    monkeypatch.setattr(text, "_digamma", np.log)
+    assert max(r.step for r in text.topic_certificate(fitted).collect()) > 1e-2
+    assert text.fit_topics(df.limit(0)) is None
+
+
+def test_digamma():
+    # fixed values: minus Euler's constant at one; each step up adds 1 / x
+    assert abs(text._digamma(np.array(1.0)) + 0.5772156649015329) < 1e-8
+    x = np.array([0.003, 0.2, 1.7, 5.5, 40.0, 1e6])
+    assert np.allclose(text._digamma(x + 1) - text._digamma(x), 1 / x, rtol=1e-7, atol=1e-12)
