@@ -142,8 +142,14 @@ def recent_prices(history: DataFrame, ticker: str, n: int = 52) -> DataFrame:
 
 
 def latest_rows(panel: DataFrame, columns: list[str]) -> DataFrame:
-    """The newest row of each ticker."""
-    return panel.groupBy("ticker").agg(F.max(F.struct("date", *columns)).alias("m")).select("ticker", "m.*")
+    """The newest row of each ticker.
+
+    The newest dates come from a hash aggregation; the struct, which would sort all rows, is only formed of the rows of
+    those dates. `panel` is stored: it is read twice.
+    """
+    newest = panel.groupBy("ticker").agg(F.max("date").alias("date"))
+    tied = panel.select("ticker", "date", *columns).join(newest, ["ticker", "date"], "left_semi")
+    return tied.groupBy("ticker").agg(F.max(F.struct("date", *columns)).alias("m")).select("ticker", "m.*")
 
 
 def price_scenarios(panel: DataFrame, scores: DataFrame, horizon: int = 13, z: float = 1.645) -> DataFrame:
