@@ -275,6 +275,22 @@ def csv_round_trip(spark, folder):
     return rounded(loaders.load_prices(spark, path))
 
 
+_MISSING = ", ".join(f"'{m}'" for m in loaders.MISSING)
+
+
+@register(
+    "multiline_csv",
+    f"select doc_id, case when source not in ({_MISSING}) then source end as source, "
+    f"case when text not in ({_MISSING}) then text end as text from documents",
+)
+def multiline_csv(spark, folder):
+    """Write the texts as CSV with quoted line breaks; each file is read again by many tasks."""
+    path = staging_path(spark, "texts") + ".csv"
+    texts = adapters.table(spark, folder, "documents").select("doc_id", "source", "text")
+    sinks.write_csv(texts, path)
+    return loaders.read_table(spark, path, multiline=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @register(
     "parquet_by_year",
     sql(

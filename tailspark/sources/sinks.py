@@ -24,8 +24,9 @@ def write_parquet_by_year(df: DataFrame, path: str, date: str = "date") -> None:
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """A CSV folder; one file only for results known to be small."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV folder, cells as they are and quotes doubled; one file only for results known to be small."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").options(header=True, **options).csv(path)
 
 
 def json_ready(df: DataFrame) -> DataFrame:
