@@ -4,7 +4,8 @@ Whether a line starts a record depends on all text before it, so a reader of suc
 But a line can do only four things to the state of that walk: keep it, turn it over, end outside quotes or end
 inside them. Such steps compose, so every block of a file is summed up in one row; a running composition over the
 blocks of a file gives the state in which each of them starts, and the state of every line follows inside its block.
-Text is shuffled once, by block; only records that cross the end of a block move again.
+Text is shuffled by block only; records that cross the end of a block move again. The plan holds that exchange for whole
+and for cut records alike, so it is paid twice unless adaptive execution reuses it.
 """
 
 from __future__ import annotations
