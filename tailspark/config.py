@@ -68,6 +68,7 @@ class Settings:
     horizon: int = 13
     top_share: float = 0.20
     controversy_windows: tuple[int, ...] = (4, 13, 26)
+    spike_margin: float = 0.0  # a score equal to its mean is a spike or not by float noise unless this is above the noise
     train_fraction: float = 0.60
     validation_fraction: float = 0.20
     seed: int = 42

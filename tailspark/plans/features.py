@@ -105,7 +105,7 @@ def with_rolling_features(base: DataFrame, settings: Settings, with_targets: boo
     longest = max(settings.controversy_windows)
     spike = score > F.col(f"controversy_rolling_mean_{longest}w") + 2.0 * F.coalesce(
         F.col(f"controversy_rolling_std_{longest}w"), F.lit(0.0)
-    )
+    ) + F.lit(settings.spike_margin)
     beta = stats.beta_from("_b", beta_min)
     # the downside beta also waits for enough pairs of the whole window
     downside = F.when(F.col("_b_pairs") >= beta_min, stats.beta_from("_d", 3))

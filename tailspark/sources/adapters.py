@@ -18,12 +18,17 @@ def _ticker(key: str) -> Column:
     return F.concat(F.lit("S"), F.col(key).cast("string"))
 
 
+def _unit_price() -> Column:
+    """Whole cents add up to one sum in any order, so a rerun gives the same price to the last bit."""
+    return F.sum(F.rint(F.col("l_extendedprice") * 100)) / 100 / F.sum("l_quantity")
+
+
 def prices(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
         .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
         .agg(
-            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("adj_close"),
+            _unit_price().alias("adj_close"),
             F.sum("l_quantity").alias("volume"),
         )
         .select(_ticker("l_suppkey").alias("ticker"), "date", "adj_close", "volume")
@@ -34,7 +39,7 @@ def benchmark_prices(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
         .groupBy(F.to_date("l_shipdate").alias("date"))
-        .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("benchmark_close"))
+        .agg(_unit_price().alias("benchmark_close"))
     )
 
 
