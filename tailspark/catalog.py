@@ -1138,9 +1138,14 @@ def topic_certificate(spark, folder):
     found = text.topic_tables(fitted, "documents")["ticker_topics"]
     names = [c for c in found.columns if c.startswith("topic_") and c != "topic_probability"]
     dominant = F.element_at(F.array(*names), F.substring("dominant_topic", 7, 3).cast("int"))
-    largest = found.select("ticker", ((dominant == F.greatest(*names)) & (dominant == F.col("topic_probability"))).alias("dominant_is_largest"))
+    largest = found.select(
+        "ticker", ((dominant == F.greatest(*names)) & (dominant == F.col("topic_probability"))).alias("dominant_is_largest"),
+        (F.abs(sum((F.col(n) for n in names), F.lit(0.0)) - 1) < 1e-9).alias("means_add_up"),
+    )
+    # a ticker whose texts have no words has no sum of its own, but means that add up like any other's
+    each = F.coalesce(F.abs(F.col("shares_sum") - 1) < 1e-9, F.lit(True))
     return text.topic_certificate(fitted).join(largest, "ticker").select(
-        "ticker", "article_count", "date_start", "date_end", (F.abs(F.col("shares_sum") - 1) < 1e-9).alias("shares_add_up"),
+        "ticker", "article_count", "date_start", "date_end", (each & F.col("means_add_up")).alias("shares_add_up"),
         (F.col("step") < 1e-3).alias("fixed_point"), "dominant_is_largest",
     )
 

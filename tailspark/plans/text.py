@@ -371,9 +371,7 @@ def topic_tables(fitted: FittedTopics, source_file: str = "", top_words: int = 1
             F.col("term.termWeights").alias("weight"),
         )
     )
-    shares = model.transform(fitted.rows).select(
-        "ticker", "date", vector_to_array("topicDistribution").alias("shares")
-    )
+    shares = text_shares(fitted).select("ticker", "date", "shares")
     names = [f"topic_{i + 1}" for i in range(k)]
     means = shares.groupBy("ticker").agg(
         F.count("*").alias("article_count"),
@@ -397,6 +395,19 @@ def topic_tables(fitted: FittedTopics, source_file: str = "", top_words: int = 1
     return {"topic_words": topic_words, "ticker_topics": ticker_topics}
 
 
+def text_shares(fitted: FittedTopics) -> DataFrame:
+    """(columns of the rows, shares): a text's topic shares; a text without words of the vocabulary has those of the prior.
+
+    Spark gives such a text zeros, which would not add up to one and would pull its ticker's means down.
+    """
+    prior = fitted.model.estimatedDocConcentration().toArray()
+    nothing = F.array(*[F.lit(float(a)) for a in prior / prior.sum()])
+    found = vector_to_array("topicDistribution")
+    return fitted.model.transform(fitted.rows).select(
+        *fitted.rows.columns, F.when(F.exists(found, lambda x: x > 0), found).otherwise(nothing).alias("shares")
+    )
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     """Shifted up to 6 or more, then the asymptotic series."""
     x, low = np.array(x, float), 0.0
@@ -412,7 +423,7 @@ def topic_certificate(fitted: FittedTopics) -> DataFrame:
 
     A text's shares are a fixed point of the variational update with the topics held: its topic counts, worked out
     once more from its words, must come out again. `step` is the largest mean change of a ticker's texts and
-    `shares_sum` the sum that is furthest from one.
+    `shares_sum` the sum that is furthest from one, of the texts with words (null where a ticker has none).
     """
     concentration = fitted.model.estimatedDocConcentration().toArray()
     weights = fitted.model.topicsMatrix().toArray()  # vocabulary x topics, at most 2000 x topics
@@ -423,18 +434,13 @@ def topic_certificate(fitted: FittedTopics) -> DataFrame:
         found = []
         for i, n, share in zip(indices, counts, shares):
             i, n = np.asarray(i, int), np.asarray(n, float)
-            if not len(i):  # a text without words of the vocabulary says nothing
-                found.append(0.0)
-                continue
             topic_counts_ = np.asarray(share) * (concentration.sum() + n.sum())
             topic = np.exp(_digamma(topic_counts_) - _digamma(topic_counts_.sum()))
             again = concentration + topic * ((n / (word_topic[i] @ topic + 1e-100)) @ word_topic[i])
             found.append(float(np.abs(again - topic_counts_).mean()))
         return pd.Series(found, dtype=float)
 
-    checked = fitted.model.transform(fitted.rows).select(
-        "ticker", "date", vector_to_array("topicDistribution").alias("shares"), F.unwrap_udt("features").alias("v")
-    )
+    checked = text_shares(fitted).select("ticker", "date", "shares", F.unwrap_udt("features").alias("v"))
     checked = checked.select(
         "ticker", "date", F.aggregate("shares", F.lit(0.0), lambda a, x: a + x).alias("sum"), F.size("v.indices").alias("words"),
         change("v.indices", "v.values", "shares").alias("step"),

@@ -229,6 +229,19 @@ def test_topic_certificate(spark, monkeypatch):
     assert text.fit_topics(df.limit(0)) is None
 
 
+def test_texts_without_words_have_the_shares_of_the_prior(spark):
+    rows = [("A", friday(i), w) for i, w in enumerate(("oil river spill", "chip wafer", "oil chip chip"))]
+    rows += [("C", friday(0), None), ("C", friday(1), "oil"), ("D", friday(3), ""), ("E", friday(3), "12 34")]
+    df = spark.createDataFrame(rows, "ticker string, date date, text string")
+    fitted = text.fit_topics(df, n_topics=2, stop_words=[])
+    got = {r.ticker: r for r in text.topic_tables(fitted)["ticker_topics"].collect()}
+    assert all(abs(r.topic_1 + r.topic_2 - 1) < 1e-9 for r in got.values())
+    prior = fitted.model.estimatedDocConcentration().toArray()
+    assert np.allclose([[got[t].topic_1, got[t].topic_2] for t in "DE"], prior / prior.sum())
+    # the certificate's update leaves the prior where it is
+    assert {r.ticker: r.step for r in text.topic_certificate(fitted).collect()}["D"] < 1e-9
+
+
 def test_digamma():
     # fixed values: minus Euler's constant at one; each step up adds 1 / x
     assert abs(text._digamma(np.array(1.0)) + 0.5772156649015329) < 1e-8
