@@ -69,6 +69,7 @@ class Settings:
     top_share: float = 0.20
     controversy_windows: tuple[int, ...] = (4, 13, 26)
     spike_margin: float = 0.0  # a score equal to its mean is a spike or not by float noise unless this is above the noise
+    label_margin: float = 0.0  # copies of the row at the threshold are labelled alike only if this is above the float noise
     train_fraction: float = 0.60
     validation_fraction: float = 0.20
     seed: int = 42

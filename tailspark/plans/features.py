@@ -194,10 +194,12 @@ def with_labels(
     top_share: float = 0.20,
     measured_on: DataFrame | None = None,
     metric: str = "future_ncskew",
+    margin: float = 0.0,
 ) -> DataFrame:
     """1 for the top share of each date's known forward metric, 0 below, null if unknown.
 
-    `measured_on` is a staged table with the same rows to take the thresholds from.
+    `measured_on` is a staged table with the same rows to take the thresholds from. Rows that are equal but for float
+    noise meet the threshold together if `margin` is above the noise.
     """
     if not 0 < top_share < 1:
         raise ValueError("top_share must be between 0 and 1")
@@ -206,7 +208,7 @@ def with_labels(
     thresholds = F.broadcast(group_quantile(source, ["date"], metric, 1.0 - top_share, "_threshold"))
     labelled = panel.join(thresholds, "date", "left")
     return labelled.withColumn(
-        "high_crash_risk", (F.col(metric) >= F.col("_threshold")).cast("int")
+        "high_crash_risk", (F.col(metric) >= F.col("_threshold") - F.lit(margin)).cast("int")
     ).drop("_threshold")
 
 
@@ -214,4 +216,4 @@ def labelled_panel(tables: dict[str, DataFrame], settings: Settings | None = Non
     """Features, forward metrics and label."""
     settings = settings or Settings()
     base = _staged_base(tables, settings, with_targets=True)
-    return with_labels(_panel(base, settings), settings.top_share, measured_on=base)
+    return with_labels(_panel(base, settings), settings.top_share, measured_on=base, margin=settings.label_margin)

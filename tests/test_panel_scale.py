@@ -57,3 +57,19 @@ def test_scenario_prices_are_compared_to_ten_digits(spark):
     rows = catalog.rounded_to_digits(wide, ("x", "y")).collect()
     assert rows[0].x == rows[1].x and rows[0].y == rows[1].y == 1.5
     assert "log10" in entry.oracle_sql()["price_scenarios"]
+
+
+def test_copies_of_the_row_at_the_threshold_are_labelled_alike(spark):
+    # each of ten values forty times, the copies apart by float noise as sums in another order leave them
+    panel = spark.range(400).select(
+        F.lit("1995-01-06").cast("date").alias("date"),
+        (F.floor(F.col("id") / 40) + (F.col("id") % 40) * 1e-13).alias("future_ncskew"),
+    )
+
+    def labelled_of_value(margin):
+        rows = features.with_labels(panel, 0.21, margin=margin).groupBy(F.round("future_ncskew").alias("v"))
+        return {r.v: r.n for r in rows.agg(F.sum("high_crash_risk").alias("n")).collect()}
+
+    assert 0 < labelled_of_value(0.0)[7.0] < 40
+    assert labelled_of_value(catalog.LABEL_MARGIN) == {float(v): 40 if v >= 7 else 0 for v in range(10)}
+    assert f"- {catalog.LABEL_MARGIN}" in entry.oracle_sql()["fit_certificate"]
