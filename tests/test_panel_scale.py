@@ -73,3 +73,17 @@ def test_copies_of_the_row_at_the_threshold_are_labelled_alike(spark):
     assert 0 < labelled_of_value(0.0)[7.0] < 40
     assert labelled_of_value(catalog.LABEL_MARGIN) == {float(v): 40 if v >= 7 else 0 for v in range(10)}
     assert f"- {catalog.LABEL_MARGIN}" in entry.oracle_sql()["fit_certificate"]
+
+
+def test_queries_of_a_few_columns_write_no_wide_panel(spark):
+    catalog.forget()
+    rows = catalog.panel(spark, FOLDER).where("high_crash_risk is not null").select("ticker", "date", "lagged_ncskew")
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "controversy_rolling" not in text and "trailing_return" not in text and "lagged_ncskew" in text
+    entry.queries()["split_evaluation"](spark, FOLDER).collect()
+    entry.queries()["one_feature_fit"](spark, FOLDER).collect()
+    assert not {"dataset", "model_rows"} & {name for _, _, name in catalog._STAGED}
+    # a session that has the whole panel reads it
+    whole = catalog.dataset(spark, FOLDER)
+    assert catalog.panel(spark, FOLDER) is whole
+    assert catalog.labelled(spark, FOLDER).exceptAll(whole).isEmpty()
