@@ -1225,6 +1225,12 @@ def dirty_controversies(spark, folder):
     return raw_controversies(spark, folder)
 
 
+@shared
+def stored_prices(spark, folder):
+    """The raw prices, which the loader's votes, the counts and the loaded table all read."""
+    return loaders.normalise_columns(raw_prices(spark, folder))
+
+
 def dirty_tables(spark, folder):
     return {
         "prices": dirty_prices(spark, folder),
@@ -1370,13 +1376,8 @@ def _summary_lines(section: str, source: str, **metrics: str) -> list[str]:
     ),
 )
 def data_summary(spark, folder):
-    raw = {
-        "prices": raw_prices(spark, folder),
-        "benchmark_prices": raw_benchmark(spark, folder),
-        "fundamentals": raw_fundamentals(spark, folder),
-        "controversies": raw_controversies(spark, folder),
-    }
-    rows = panel(spark, folder)
+    raw = dirty_tables(spark, folder) | {"prices": stored_prices(spark, folder)}
+    rows = panel_scores(spark, folder)
     files = {name: f"{folder}/raw/{name}.parquet" for name in raw}
     return quality.data_summary(raw, loaders.load_tables(spark, raw), rows, rows, latest_scores(spark, folder), files)
 

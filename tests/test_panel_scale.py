@@ -87,3 +87,8 @@ def test_queries_of_a_few_columns_write_no_wide_panel(spark):
     whole = catalog.dataset(spark, FOLDER)
     assert catalog.panel(spark, FOLDER) is whole
     assert catalog.labelled(spark, FOLDER).exceptAll(whole).isEmpty()
+
+
+def test_data_summary_reads_stored_raw_tables(spark):
+    text = plan(entry.queries()["data_summary"](spark, FOLDER))
+    assert "lineitem" not in text and "orders" not in text and "stored_prices" in text
