@@ -435,6 +435,33 @@ def test_language_groups_change_nothing(spark):
     assert score(10**9) == score(1)
 
 
+def test_no_two_characters_share_their_symbols():
+    characters = [chr(p) for p in (*range(0x80, 0x3000), *range(0x4E00, 0x5200), 0x10000, 0x1F600, 0x1F603) if chr(p) == chr(p).lower()]
+    code, owner = perplexity.grams([c * 4 for c in characters])
+    each = np.split(code, np.flatnonzero(np.diff(owner)) + 1)
+    assert len({c.tobytes() for c in each}) == len(characters)
+
+
+def test_another_script_costs_more_beyond_latin_1(spark):
+    script = lambda seed, shift: "".join(c if c == " " else chr(0x430 + 3 * (ord(c) - 97) + shift) for c in sentence(seed, 150))
+    # as many code points on, so that their remainders by three are the same
+    rows = [(i, script(i, 0), "ru", "s") for i in range(60)] + [(100 + i, script(100 + i, shift), "ru", "s") for i, shift in enumerate((0x600, 0x900, 0x3000))]
+    found = perplexity.with_scores(table(spark, rows), "text", "lang", "q", ["doc_id"]).collect()
+    cost = {r["doc_id"]: r["q"]["log_perplexity"] for r in found}
+    assert max(cost[i] for i in range(60)) < min(cost[i] for i in range(100, 103))
+
+
+def test_look_up_survives_taken_places(monkeypatch):
+    code, _ = perplexity.grams([sentence(i, 30) for i in range(8)])
+    model = perplexity.KneserNey(*np.unique(code, return_counts=True))
+    monkeypatch.setattr(perplexity, "SLOT_BITS", 4)
+    known = perplexity._LookedUp()
+    other = perplexity.KneserNey(np.empty(0, np.uint32), np.empty(0, np.int64))
+    for _ in range(2):
+        assert np.allclose(known.get(model, 0, code), model.log_probability(code), atol=1e-5)
+        assert np.allclose(known.get(other, 1, code), -np.log(perplexity.SIZE), atol=1e-5)
+
+
 # --- op6 ---------------------------------------------------------------------------
 
 
