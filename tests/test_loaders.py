@@ -149,3 +149,11 @@ def test_fixed_day_first(spark):
 def test_spellings_are_taken_in_the_order_of_the_list(spark):
     df = spark.createDataFrame([("a", "b", "c")], "Full_Text string, `News Text` string, summary string")
     assert loaders.harmonise_text_columns(df).columns == ["text", "News Text", "summary"]
+
+
+def test_a_repeated_date_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("13-01-2020",)] * 3 + [("2020-01-05 00:00:00",), (None,), ("x",)], "date string")
+    looks = loaders.date_looks(df, "date")
+    assert {r.look: r.n for r in looks.collect()} == {"day first": 3, "year first": 1, "other": 2}
+    steps = [line for line in looks._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
+    assert len(steps) == 2 and "Aggregate [date#" in steps[1]
