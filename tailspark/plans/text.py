@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -303,7 +303,7 @@ def _vector_total(df: DataFrame, column: str, metric: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class FittedTopics:
-    rows: DataFrame  # ticker, date, words, features
+    rows: DataFrame  # ticker, date, features
     vocabulary: list[str]
     model: LDAModel
     k: int
@@ -326,9 +326,12 @@ def fit_topics(
         kept_words(texts, stop).select(F.upper(F.trim("ticker")).alias("ticker"), "date", "words"), "words"
     )
     n_texts = prepared.count()
-    if n_texts == 0 or prepared.where(F.size("words") > 0).isEmpty():
+    commonest = commonest_words(prepared, vocabulary)
+    if not commonest:
         return None
-    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(prepared)
+    counter = CountVectorizerModel.from_vocabulary(commonest, inputCol="words", outputCol="features")
+    # written once, as each iteration reads the counts anew
+    rows = stage(counter.transform(prepared).select("ticker", "date", "features"), "word-counts")
     k = max(1, min(n_topics, n_texts))
     # Spark's LDA needs two topics; a single text is one topic by definition
     fitted_k = max(2, k)
@@ -340,8 +343,14 @@ def fit_topics(
         seed=seed,
         docConcentration=[1.0 / k] * fitted_k,
         topicConcentration=1.0 / k,
-    ).fit(counter.transform(prepared))
-    return FittedTopics(counter.transform(prepared), counter.vocabulary, model, k)
+    ).fit(rows)
+    return FittedTopics(rows, commonest, model, k)
+
+
+def commonest_words(rows: DataFrame, most: int) -> list[str]:
+    """The `most` words with the highest counts over all texts, highest first and ties by word."""
+    totals = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in totals.orderBy(F.col("n").desc(), "word").limit(most).collect()]
 
 
 def topics(texts: DataFrame, source_file: str = "", top_words: int = 10, **fit) -> dict[str, DataFrame]:

@@ -247,3 +247,8 @@ def test_digamma():
     assert abs(text._digamma(np.array(1.0)) + 0.5772156649015329) < 1e-8
     x = np.array([0.003, 0.2, 1.7, 5.5, 40.0, 1e6])
     assert np.allclose(text._digamma(x + 1) - text._digamma(x), 1 / x, rtol=1e-7, atol=1e-12)
+
+
+def test_commonest_words_leave_no_tie_to_chance(spark):
+    rows = spark.createDataFrame([(["d", "b", "c", "a"],), (["d", "c", "b"],), ([],)], "words array<string>").repartition(3)
+    assert text.commonest_words(rows, 3) == ["b", "c", "d"]
