@@ -1,58 +1,150 @@
-"""Exact medians of many columns in two passes, however many columns and rows.
+"""Exact medians of many columns in a few passes, however many columns and rows.
 
-The first pass draws a mergeable quantile sketch of every column at once; it gives two seen values
-that bracket the middle. The second pass counts exactly: values outside the bracket collapse to one
-row a side before the shuffle, those inside (a fixed small share of the rows) to one row each, and
-the middle is read off their running count.
+A double's bits, taken in order of its value, are found from the top: a pass counts the values by their next bits,
+which tells the cell that holds the middle, and later passes count inside that cell only. A cell of one value is done;
+once few values are left in it, the last pass counts these one by one. A task gives one row for each cell that it saw.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR = 0.0005  # of a rank, as a share of the rows; about 8 times as many rows are inside a bracket
-BELOW, ABOVE = float("-inf"), float("inf")
+ERROR = 0.0005  # the share of a column's rows that the last pass counts one by one
+LEAST = 1000  # so many are counted one by one in any case
+FIRST, NEXT = 16, 8  # bits of a pass: sign, exponent and the first places, then finer
+HELD = 1 << 20  # cells a task holds at once
+CELL = "i int, cell long, part int, n long, low long, high long"
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], error: float = ERROR) -> dict[str, float | None]:
-    """Median per column, None for a column without values. `df` is stored: it is read twice. Missing values and NaN do not count."""
-    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    found = _between(values, list(range(len(columns))), min(0.5, 4 * error), error)
-    # a bracket that misses the middle (few rows, many ties at its ends) is opened to the whole column
-    missed = [i for i, median in found.items() if median in (BELOW, ABOVE)]
-    if missed:
-        found |= _between(values, missed, 0.5, error)
-    return {c: found.get(i) for i, c in enumerate(columns)}
-
-
-def _between(values: DataFrame, numbers: list[int], reach: float, error: float) -> dict[int, float]:
-    """The medians of the columns, BELOW or ABOVE where one lies outside its bracket; columns without values are left out."""
-    names = [f"_{i}" for i in numbers]
-    brackets = values.approxQuantile(names, [0.5 - reach, 0.5 + reach], error)
-    cells = []
-    for i, name, bracket in zip(numbers, names, brackets):
-        if bracket:
-            x = F.when(~F.isnan(name), F.col(name))
-            # adding 0.0 makes one value of the two zeros
-            cell = F.when(x < bracket[0], BELOW).when(x > bracket[1], ABOVE).otherwise(x + 0.0)
-            cells.append(F.struct(F.lit(i).alias("i"), cell.alias("value")))
-    if not cells:
-        return {}
-    counted = (
-        values.select(F.inline(F.array(*cells))).where("value is not null").groupBy("i", "value").agg(F.count("*").alias("n"))
-    )
-    by = Window.partitionBy("i")
-    placed = counted.select(
-        "*", F.sum("n").over(by.orderBy("value")).alias("upto"), F.sum("n").over(by).alias("total")
-    )
-
-    def at(position):
-        return F.max(F.when((F.col("upto") > position) & (F.col("upto") - F.col("n") <= position), F.col("value")))
-
-    middle = placed.groupBy("i").agg(
-        at(F.floor((F.col("total") - 1) / 2)).alias("a"), at(F.floor(F.col("total") / 2)).alias("b")
-    )
-    return {r.i: r.a if r.a == r.b else BELOW if r.a == BELOW else ABOVE if r.b == ABOVE else r.a + (r.b - r.a) * 0.5 for r in middle.collect()}
+    """Median per column, None for a column without values. `df` is stored: it is read several times. Missing values and NaN do not count."""
+    return prefix_medians(df.withColumn("_part", F.lit(0)), columns, "_part", [0], error)[0]
+
+
+@dataclass(frozen=True)
+class _Place:
+    """A place in the order of the values of a cell, with the cell's rows, lowest and highest value."""
+
+    cell: int
+    place: int
+    rows: int
+    low: int
+    high: int
+
+
+def prefix_medians(
+    df: DataFrame, columns: Sequence[str], part: str, upto: Sequence[int], error: float = ERROR
+) -> list[dict[str, float | None]]:
+    """The medians over the rows whose `part` is at most each number of `upto`, all in the same passes."""
+    values = df.select(F.col(part).cast("int").alias("_part"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    counts = _counted(values, dict.fromkeys(range(len(columns))), 0, FIRST)
+    # the two middle places of a column's rows up to a part
+    places: dict[tuple[int, int, int], _Place] = {}
+    sizes = {}
+    for i in range(len(columns)):
+        for k, last in enumerate(upto):
+            sizes[i, k] = sum(n for _, p, n, _, _ in counts[i] if p <= last)
+            for side in (0, 1) if sizes[i, k] else ():
+                places[i, k, side] = _narrowed(counts[i], None, (sizes[i, k] - 1 + side) // 2, last, FIRST)
+    known = FIRST
+    while known < 64 and (rest := {t: p for t, p in places.items() if p.low < p.high}):
+        few = all(p.rows <= max(LEAST, error * sizes[t[:2]]) for t, p in rest.items())
+        bits = 64 - known if few else min(NEXT, 64 - known)
+        cells = defaultdict(set)
+        for t, p in rest.items():
+            cells[t[0]].add(p.low >> (64 - known))
+        counts = _counted(values, cells, known, bits)
+        for t, p in rest.items():
+            places[t] = _narrowed(counts[t[0]], p.low >> (64 - known), p.place, upto[t[1]], bits)
+        known += bits
+    found: list[dict[str, float | None]] = [dict.fromkeys(columns) for _ in upto]
+    for i, k, side in places:
+        if side == 0:
+            a, b = (_value(places[i, k, s].low) for s in (0, 1))
+            found[k][columns[i]] = a if a == b else a + (b - a) * 0.5
+    return found
+
+
+def _narrowed(counts: list, cell: int | None, place: int, last: int, bits: int) -> _Place:
+    """The finer cell that holds the place."""
+    inside: dict[int, tuple[int, int, int]] = {}
+    for finer, part, n, low, high in counts:
+        if part <= last and (cell is None or finer >> bits == cell):
+            rows, a, b = inside.get(finer, (0, low, high))
+            inside[finer] = rows + n, min(a, low), max(b, high)
+    for finer in sorted(inside):
+        rows, low, high = inside[finer]
+        if place < rows:
+            return _Place(finer, place, rows, low, high)
+        place -= rows
+    raise AssertionError("the rows changed between two passes")
+
+
+def order_keys(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; the two zeros are one value. Twice gives the bits back."""
+    return _flipped((x + 0.0).view(np.int64))
+
+
+def _flipped(bits: np.ndarray) -> np.ndarray:
+    return bits ^ ((bits >> np.int64(63)) & np.int64((1 << 63) - 1))
+
+
+def _value(key: int) -> float:
+    return float(_flipped(np.array([key], np.int64)).view(np.float64)[0])
+
+
+def _counted(values: DataFrame, cells: dict, known: int, bits: int) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """Per column (cell of `known + bits` bits, part, rows, lowest, highest value), inside the given cells of `known` bits."""
+    wanted = {i: None if c is None else np.array(sorted(c), np.int64) for i, c in cells.items()}
+
+    def merged(held: list[np.ndarray]) -> np.ndarray:
+        """One row for each (cell, part)."""
+        table = np.concatenate(held)
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        first = np.flatnonzero(np.any(np.diff(table[:, :2], axis=0, prepend=table[:1, :2] - 1) != 0, axis=1))
+        return np.column_stack([
+            table[first, :2], np.add.reduceat(table[:, 2], first), np.minimum.reduceat(table[:, 3], first), np.maximum.reduceat(table[:, 4], first),
+        ])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = defaultdict(list)
+        size: dict[int, int] = defaultdict(int)
+        for batch in batches:
+            parts = batch.column("_part").to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, found in wanted.items():
+                x = batch.column(f"_{i}").to_numpy(zero_copy_only=False)
+                here = np.flatnonzero(~np.isnan(x))
+                keys = order_keys(x[here])
+                if found is not None:
+                    near = np.isin(keys >> np.int64(64 - known), found)
+                    here, keys = here[near], keys[near]
+                mine = parts[here]
+                for part in np.unique(mine):
+                    ordered = np.sort(keys[mine == part])
+                    cell = ordered >> np.int64(64 - known - bits)
+                    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                    end = np.append(first[1:], len(cell))
+                    of_part = np.full(len(first), part, np.int64)
+                    held[i].append(np.column_stack([cell[first], of_part, end - first, ordered[first], ordered[end - 1]]))
+                    size[i] += len(first)
+                if size[i] > HELD:
+                    held[i] = [merged(held[i])]
+                    size[i] = len(held[i][0]) // 2
+        for i, tables in held.items():
+            table = merged(tables)
+            columns = [np.full(len(table), i, np.int32), table[:, 0], table[:, 1].astype(np.int32), *table.T[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in CELL.split(", ")])
+
+    rows = values.select("_part", *[f"_{i}" for i in wanted]).mapInArrow(count, CELL)
+    grouped = rows.groupBy("i", "cell", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counts: dict[int, list] = {i: [] for i in wanted}
+    for r in grouped.collect():
+        counts[r.i].append((r.cell, r.part, r.n, r.low, r.high))
+    return counts

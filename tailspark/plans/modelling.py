@@ -16,14 +16,14 @@ from statistics import fmean, pstdev
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailspark.config import TEXT_SIGNALS, Settings, require_columns
-from tailspark.operators import forest
+from tailspark.operators import forest, newton
 from tailspark.operators.calendar import chronological_split
 from tailspark.operators.ranking import with_position, with_risk_bucket
 from tailspark.operators.selection import exact_medians
@@ -119,6 +119,8 @@ class FittedModel:
     def predict(self, df: DataFrame, name: str = "crash_probability") -> DataFrame:
         """Add the probability of class 1 to every row."""
         require_columns(df.columns, self.features, "panel")
+        if isinstance(self.classifier, newton.LogisticFit):
+            return df.select(*df.columns, self.classifier.probability(self.preparation.columns()).alias(name))
         scored = self.classifier.transform(
             df.withColumn("_vector", array_to_vector(F.array(*self.preparation.columns())))
         )
@@ -145,6 +147,22 @@ class FittedModel:
         return F.array_join(F.transform(largest, lambda part: part["name"]), ";")
 
 
+def _balanced(counts: dict[int, int]) -> tuple[float, float]:
+    """The weight of a row of each class that gives both classes an equal total."""
+    rows = sum(counts.values())
+    return rows / (2.0 * counts[0]), rows / (2.0 * counts[1])
+
+
+def _logistic_task(scaled: int, counts: dict[int, int], c: float) -> newton.Task:
+    # sum(C * w * loss) + |b|^2 / 2 divided by C * sum(w); balanced weights add up to the rows
+    rows = sum(counts.values())
+    return newton.Task(scaled, _balanced(counts), 1.0 / (c * rows), rows)
+
+
+def _scaled(preparation: Preparation, last: int = 0) -> newton.Scaled:
+    return newton.Scaled(preparation.median, preparation.mean, preparation.scale, last)
+
+
 def _classifier(model_type: str, params: dict[str, Any], seed: int, rows: int):
     names = {"featuresCol": "_vector", "labelCol": LABEL}
     if model_type == "random_forest":
@@ -159,28 +177,16 @@ def _classifier(model_type: str, params: dict[str, Any], seed: int, rows: int):
             featureSubsetStrategy="sqrt",
             seed=seed,
         )
-    if model_type == "gradient_boosting":
-        return GBTClassifier(
-            **names,
-            maxIter=params["classifier__n_estimators"],
-            maxDepth=params["classifier__max_depth"],
-            stepSize=params["classifier__learning_rate"],
-            maxBins=params["classifier__max_bins"],
-            # the ensemble's lineage is cut at the session's checkpoint folder
-            checkpointInterval=10,
-            seed=seed,
-        ).setProbabilityCol("_probability")
-    # sum(C * w * loss) + |b|^2 / 2 divided by C * sum(w); balanced weights add up to the rows
-    return LogisticRegression(
+    return GBTClassifier(
         **names,
-        probabilityCol="_probability",
-        weightCol="_weight",
-        regParam=1.0 / (params["classifier__C"] * rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-7,
-    )
+        maxIter=params["classifier__n_estimators"],
+        maxDepth=params["classifier__max_depth"],
+        stepSize=params["classifier__learning_rate"],
+        maxBins=params["classifier__max_bins"],
+        # the ensemble's lineage is cut at the session's checkpoint folder
+        checkpointInterval=10,
+        seed=seed,
+    ).setProbabilityCol("_probability")
 
 
 def fit(
@@ -199,6 +205,10 @@ def fit(
         raise ValueError("Need at least two target classes to train")
     rows = sum(counts.values())
     preparation = fit_preparation(train, features)
+    if model_type == "logistic_regression":
+        task = _logistic_task(0, counts, chosen["classifier__C"])
+        found = newton.fit_logistic(train, LABEL, features, [_scaled(preparation)], [task])
+        return FittedModel(model_type, preparation, found[0], chosen)
     if model_type == "random_forest" and chosen["classifier__max_depth"] > SHALLOW:
         deep = forest.fit_forest(
             train,

@@ -80,6 +80,16 @@ def test_the_gradient_vanishes_at_the_fit_only(dataset):
         modelling.optimality(modelling.FittedModel("random_forest", model.preparation, None), train)
 
 
+def test_a_fit_stops_at_its_optimum_only(spark):
+    # nearly equal columns under a small penalty: the loss hardly falls long before its gradient vanishes
+    rng = np.random.default_rng(3)
+    a, tail = rng.normal(size=3000), np.exp(4 * rng.normal(size=3000))
+    rows = [(int(y), float(x), float(x + 0.01 * z), float(t)) for y, x, z, t in zip(a + rng.normal(size=3000) > 1, a, rng.normal(size=3000), tail)]
+    train = spark.createDataFrame(rows, f"{modelling.LABEL} int, p double, q double, r double")
+    model = modelling.fit(train, ["p", "q", "r"], params={"classifier__C": 100.0})
+    assert max(abs(r.gradient) for r in modelling.optimality(model, train).collect()) < 1e-9
+
+
 def test_training_scoring_and_drivers(spark, dataset):
     trained = modelling.train_classifier(dataset, FEW)
     assert trained.trained_rows == 76 and sum(trained.class_balance.values()) == 76
