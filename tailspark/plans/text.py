@@ -301,6 +301,10 @@ def _vector_total(df: DataFrame, column: str, metric: str) -> np.ndarray:
     return np.sum([p.total.toArray() for p in parts], axis=0)
 
 
+SETTLED = 1e-4  # a text's mean change of its topic counts; the certificate bears ten times as much
+MOST_UPDATES = 5000
+
+
 @dataclass(frozen=True)
 class FittedTopics:
     rows: DataFrame  # ticker, date, features
@@ -407,14 +411,35 @@ def topic_tables(fitted: FittedTopics, source_file: str = "", top_words: int = 1
 def text_shares(fitted: FittedTopics) -> DataFrame:
     """(columns of the rows, shares): a text's topic shares; a text without words of the vocabulary has those of the prior.
 
-    Spark gives such a text zeros, which would not add up to one and would pull its ticker's means down.
+    Spark gives such a text zeros, which would not add up to one and would pull its ticker's means down. It also stops
+    a text's updates once they change its counts by less than 0.001, however slowly they still move; they are carried
+    on here until they have settled.
     """
     prior = fitted.model.estimatedDocConcentration().toArray()
-    nothing = F.array(*[F.lit(float(a)) for a in prior / prior.sum()])
-    found = vector_to_array("topicDistribution")
-    return fitted.model.transform(fitted.rows).select(
-        *fitted.rows.columns, F.when(F.exists(found, lambda x: x > 0), found).otherwise(nothing).alias("shares")
+    nothing = [float(a) for a in prior / prior.sum()]
+    update = _share_update(fitted)
+
+    @F.pandas_udf("array<double>")
+    def settled(indices: pd.Series, counts: pd.Series, shares: pd.Series) -> pd.Series:
+        found = []
+        for i, n, share in zip(indices, counts, shares):
+            share = np.asarray(share, float)
+            if not len(i) or not share.any():
+                found.append(nothing)
+                continue
+            i, n = np.asarray(i, int), np.asarray(n, float)
+            now = share * (prior.sum() + n.sum())
+            for _ in range(MOST_UPDATES):
+                before, now = now, update(i, n, now)
+                if np.abs(now - before).mean() < SETTLED:
+                    break
+            found.append(now / now.sum())
+        return pd.Series(found)
+
+    rows = fitted.model.transform(fitted.rows).withColumns(
+        {"_shares": vector_to_array("topicDistribution"), "_words": F.unwrap_udt("features")}
     )
+    return rows.select(*fitted.rows.columns, settled("_words.indices", "_words.values", "_shares").alias("shares"))
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -427,6 +452,20 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240))) - low
 
 
+def _share_update(fitted: FittedTopics, digamma=_digamma):
+    """The variational update of a text's topic counts from its words, with the topics held."""
+    concentration = fitted.model.estimatedDocConcentration().toArray()
+    weights = fitted.model.topicsMatrix().toArray()  # vocabulary x topics, at most 2000 x topics
+    word_topic = np.exp(digamma(weights) - digamma(weights.sum(axis=0)))
+
+    def update(i: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+        topic = np.exp(digamma(now) - digamma(now.sum()))
+        held = word_topic[i]
+        return concentration + topic * ((n / (held @ topic + 1e-100)) @ held)
+
+    return update
+
+
 def topic_certificate(fitted: FittedTopics) -> DataFrame:
     """(ticker, article_count, date_start, date_end, shares_sum, step): are the shares those of the fitted topics?
 

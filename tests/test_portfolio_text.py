@@ -229,6 +229,16 @@ def test_topic_certificate(spark, monkeypatch):
     assert text.fit_topics(df.limit(0)) is None
 
 
+def test_shares_are_carried_on_until_they_settle(spark):
+    # themes that share most words settle slowly: Spark's shares move on by close to the certificate's bound
+    rng = random.Random(5)
+    common = "oil river chip wafer node fab rig".split()
+    rows = [(f"T{i}", friday(i % 30), " ".join(rng.choices(common, k=60) + [["spill", "demand"][i % 2]] * (i % 3))) for i in range(120)]
+    fitted = text.fit_topics(spark.createDataFrame(rows, "ticker string, date date, text string"), n_topics=4, stop_words=[])
+    steps = [r.step for r in text.topic_certificate(fitted).collect()]
+    assert len(steps) == 120 and max(steps) < 1.5 * text.SETTLED
+
+
 def test_texts_without_words_have_the_shares_of_the_prior(spark):
     rows = [("A", friday(i), w) for i, w in enumerate(("oil river spill", "chip wafer", "oil chip chip"))]
     rows += [("C", friday(0), None), ("C", friday(1), "oil"), ("D", friday(3), ""), ("E", friday(3), "12 34")]
